@@ -1,0 +1,351 @@
+"""Which windows of a document also start in an earlier document: the common part of the two substring operators.
+
+A document is a sequence of symbols (words or bytes); a window is `length` consecutive symbols. Documents are cut
+into blocks by ranges of their id, so "an earlier document" means one before it in its block or any in an earlier
+block. Three rounds, each a shuffle of packed arrays instead of a row for each window:
+
+1. Every window has an anchor, the least hash of its `gram`-symbol grams; equal windows have equal anchors. Each
+   block sends its distinct anchors (4 bytes each) and the digests of its texts to buckets chosen by hash. What
+   more than one block holds goes back to these blocks. Anchors of one block only need no further look.
+2. Each block hashes the windows whose anchor is shared (with another block or within it), leaves out documents
+   that copy an earlier text as a whole, keeps the first of equal windows, and sends the 96-bit hashes to buckets.
+   Each bucket answers, one bit a hash, whether an earlier block has it.
+3. Each block marks its windows from these bits and from its own earlier documents.
+
+A key that a third of all documents hold is one entry of each block and round, so no bucket gets hot. The texts
+are shuffled once, by block; the three rounds share that exchange. Answers are bits, so they grow far less than
+the input. An error needs two different windows with equal 96-bit hashes.
+
+Ids are integers. Rows whose id is null are no reference and keep all they have. Rows that share an id are judged
+each by its own text, and are not earlier than each other.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import parts
+
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+U64 = np.uint64
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values over all bits (a bijection)."""
+    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
+
+
+#: A random 64-bit value for each byte.
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * U64(BASES[0]))
+
+
+def grams(values: np.ndarray, n: int, base: int) -> np.ndarray:
+    """A polynomial hash of each n consecutive values, joined from powers of two."""
+    total = len(values) - n + 1
+    if total <= 0:
+        return values[:0]
+    out, have, block, size = None, 0, values, 1
+    while True:
+        if n & size:
+            if out is None:
+                out, have = block, size
+            else:
+                keep = len(values) - have - size + 1
+                out, have = out[:keep] + block[have : have + keep] * U64(pow(base, have, 1 << 64)), have + size
+        if have == n:
+            return mixed(out[:total])
+        block = block[:-size] + block[size:] * U64(pow(base, size, 1 << 64))
+        size *= 2
+
+
+def least_in(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width consecutive values."""
+    total, size = len(values) - width + 1, 1
+    while size * 2 <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[:total], values[width - size : width - size + total])
+
+
+def byte_symbols(text: bytes) -> np.ndarray:
+    return BYTE_VALUES[np.frombuffer(text, np.uint8)]
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(k: int, n: int) -> np.ndarray:
+    """Powers of a base (k = 0) or of its inverse (k = 1), at least n of them."""
+    if len(_powers[k]) < n:
+        base = BASES[1] if k == 0 else pow(BASES[1], -1, 1 << 64)
+        _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1 << 16), base, np.uint64))])
+    return _powers[k][:n]
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words between ASCII white space."""
+    b = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_symbols(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    starts, ends = word_bounds(text)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_symbols(text) * _power(0, len(text)), dtype=np.uint64)])
+    return mixed((sums[ends] - sums[starts]) * _power(1, len(text) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """symbols: bytes of a text -> 64-bit symbols; length: of a window; gram: of an anchor; buckets: to which hashes go."""
+
+    symbols: Callable[[bytes], np.ndarray]
+    length: int
+    gram: int
+    buckets: int
+
+
+class Block:
+    """The documents of one block by id, with the anchors of their windows. Of a text that repeats in the block the first is `fresh`."""
+
+    def __init__(self, table: pa.Table, plan: Plan):
+        order = np.argsort(np.array(table.column("doc_id").to_numpy(), np.int64), kind="stable")
+        self.plan = plan
+        self.ids = np.array(table.column("doc_id").to_numpy(), np.int64)[order]
+        texts = table.column("text").to_pylist()
+        self.texts = [(texts[i] or "").encode() for i in order]
+        self.digests = [hashlib.blake2b(t, digest_size=8).digest() for t in self.texts]
+        first: dict[bytes, int] = {}
+        self.fresh, self.copies = [], []
+        for k, digest in enumerate(self.digests):
+            same = first.setdefault(digest, k)
+            if same == k or self.texts[same] != self.texts[k]:
+                self.fresh.append(k)
+            elif self.ids[same] < self.ids[k]:
+                self.copies.append(k)
+
+    def anchors(self, k: int) -> np.ndarray:
+        plan = self.plan
+        values = grams(plan.symbols(self.texts[k]), plan.gram, BASES[0])
+        return least_in(values, plan.length - plan.gram + 1) if len(values) >= plan.length - plan.gram + 1 else values[:0]
+
+    def all_anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchors of the fresh texts, and whether more than one text has each."""
+        own = [a[np.flatnonzero(np.r_[True, a[1:] != a[:-1]])] for k in self.fresh if len(a := self.anchors(k))]
+        own = [np.unique(a) for a in own]
+        if not own:
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        found, n = np.unique(np.concatenate(own), return_counts=True)
+        return found, n > 1
+
+    def windows(self, shared: np.ndarray, copied: set[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each window with a shared anchor, in documents that copy no earlier text: hash, check, document, place."""
+        plan, out = self.plan, []
+        for k in self.fresh:
+            if self.digests[k] in copied:
+                continue
+            a = self.anchors(k)
+            at = np.flatnonzero(np.isin(a, shared)) if len(a) else a
+            if len(at):
+                symbols = plan.symbols(self.texts[k])
+                out.append((grams(symbols, plan.length, BASES[0])[at], (grams(symbols, plan.length, BASES[1])[at] >> U64(32)).astype(np.uint32), np.full(len(at), k, np.int32), at.astype(np.int32)))
+        if not out:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def anchor_key(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits within it: as buckets grow with the data, the chance of a false match stays."""
+    return ((anchors % U64(buckets)) << U64(32)) | (anchors >> U64(32))
+
+
+def _split(keys: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(buckets):
+        return
+    order = np.argsort(buckets, kind="stable")
+    at = np.flatnonzero(np.r_[True, np.diff(buckets[order]) != 0])
+    for i, j in zip(at, np.r_[at[1:], len(order)], strict=True):
+        yield int(buckets[order[i]]), order[i:j]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+SENT = "bucket int, block int, anchors array<int>, digests array<long>, hashes array<long>, checks array<int>"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.list_(pa.int32())), ("digests", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32()))])
+NOTES = "block int, bucket int, anchors array<long>, digests array<long>, bits binary"
+NOTES_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.list_(pa.int64())), ("digests", pa.list_(pa.int64())), ("bits", pa.binary())])
+
+
+def _values(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and for each the row that it is from."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.asarray(arr.value_lengths().fill_null(0))
+    return arr.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False), np.repeat(np.arange(len(arr)), lengths)
+
+
+def _send_anchors(plan: Plan):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = Block(table, plan)
+        anchors, _ = block.all_anchors()
+        keys = np.unique(anchor_key(anchors, plan.buckets))
+        rows = {b: [b, key[0].as_py(), keys[at].astype(np.uint32).view(np.int32), None, None, None] for b, at in _split(keys, (keys >> U64(32)).astype(np.int64))}
+        digests = np.unique(np.array([np.frombuffer(block.digests[k], np.int64)[0] for k in block.fresh], np.int64))
+        for b, at in _split(digests, (digests.view(np.uint64) % U64(plan.buckets)).astype(np.int64)):
+            rows.setdefault(b, [b, key[0].as_py(), None, None, None, None])[3] = digests[at]
+        return _table(list(rows.values()), SENT_ARROW)
+
+    return run
+
+
+def _answer_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Anchors that more than one block sent go back to these; digests to all blocks but the first that sent them."""
+    blocks = np.asarray(table.column("block"))
+    anchors, row = _values(table.column("anchors"), np.int32)
+    anchors = anchors.view(np.uint32)
+    _, at, n = np.unique(anchors, return_inverse=True, return_counts=True)
+    keep = n[at] > 1
+    anchors, row = (anchors[keep].astype(np.uint64) | (U64(key[0].as_py()) << U64(32))).view(np.int64), row[keep]
+    digests, owner = _values(table.column("digests"), np.int64)
+    order = np.lexsort((blocks[owner], digests))
+    late = np.zeros(len(digests), bool)
+    late[order[1:]] = digests[order[1:]] == digests[order[:-1]]
+    digests, owner = digests[late], owner[late]
+    rows = [(blocks[r], key[0].as_py(), anchors[row == r], digests[owner == r], None) for r in np.union1d(row, owner)]
+    return _table(rows, NOTES_ARROW)
+
+
+def _shared(notes: pa.Table) -> tuple[np.ndarray, set[bytes]]:
+    keys = _values(notes.column("anchors"), np.int64)[0].view(np.uint64)
+    return np.unique(keys), {int(d).to_bytes(8, "little", signed=True) for d in _values(notes.column("digests"), np.int64)[0]}
+
+
+class Candidates:
+    """The windows of a block that round 1 could not clear: the first of each hash is sent, in order of bucket and hash."""
+
+    def __init__(self, table: pa.Table, notes: pa.Table, plan: Plan):
+        self.block = Block(table, plan)
+        keys, self.copied = _shared(notes)
+        anchors, repeated = self.block.all_anchors()
+        wanted = anchors[repeated | np.isin(anchor_key(anchors, plan.buckets), keys)]
+        self.hashes, self.checks, self.doc, self.place = self.block.windows(wanted, self.copied)
+        order = np.lexsort((self.doc, self.checks, self.hashes))
+        h, c = self.hashes[order], self.checks[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+        self.order, self.group, self.first = order, np.cumsum(new) - 1, order[new]
+        self.buckets = (self.hashes[self.first] % U64(plan.buckets)).astype(np.int64)
+
+    def marked(self, bits: dict[int, bytes]) -> np.ndarray:
+        """For each window whether it is also in an earlier document."""
+        earlier = np.zeros(len(self.first), bool)
+        for b, at in _split(self.first, self.buckets):
+            if b in bits:
+                earlier[at] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(at)).astype(bool)
+        ids = self.block.ids[self.doc] if len(self.doc) else self.doc
+        out = np.zeros(len(self.order), bool)
+        out[self.order] = earlier[self.group] | (ids[self.order] > ids[self.first][self.group])
+        return out
+
+
+def _send_windows(plan: Plan):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, notes: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table([], SENT_ARROW)
+        c = Candidates(table, notes, plan)
+        rows = [(b, key[0].as_py(), None, None, c.hashes[c.first[at]].view(np.int64), c.checks[c.first[at]].view(np.int32)) for b, at in _split(c.first, c.buckets)]
+        return _table(rows, SENT_ARROW)
+
+    return run
+
+
+def by_sorting(batches: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For batches of distinct (hash, check), earliest first: which of a batch's are in an earlier one. One index over all, by sorting."""
+    hashes, checks = (np.concatenate(x) for x in zip(*batches, strict=True))
+    order = np.lexsort((np.arange(len(hashes)), checks, hashes))
+    late = np.zeros(len(hashes), bool)
+    late[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
+    return np.split(late, np.cumsum([len(h) for h, _ in batches])[:-1])
+
+
+def _answer_windows(look):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blocks = np.asarray(table.column("block"))
+        order = np.argsort(blocks, kind="stable")
+        hashes, checks = table.column("hashes").combine_chunks(), table.column("checks").combine_chunks()
+        batches = [(np.asarray(hashes[i].values).view(np.uint64), np.asarray(checks[i].values).view(np.uint32)) for i in order.tolist()]
+        rows = [(int(blocks[i]), key[0].as_py(), None, None, np.packbits(late).tobytes()) for i, late in zip(order, look(batches), strict=True) if late.any()]
+        return _table(rows, NOTES_ARROW)
+
+    return run
+
+
+def judge(docs: DataFrame, plan_of: Callable[[int], Plan], finish: Callable, schema: str, arrow: pa.Schema, id_col: str, text: str, look=by_sorting) -> DataFrame:
+    """finish(text, removed) -> the values of a row after its id, where removed marks the symbols that go.
+
+    plan_of gives the plan for a number of buckets; that number is spark.sql.shuffle.partitions, as for any shuffle.
+    """
+    spark = docs.sparkSession
+    n = parts(spark)
+    plan = plan_of(n)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    cuts = rows.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 10_000 if n <= 2_000 else 5 * n)).first()[0] or []
+    bounds = np.unique(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def block_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(bounds, ids.fillna(0).astype("int64"), "left")).astype("int32"))
+
+    blocks = rows.withColumn("block", block_of("doc_id")).repartition(n, "block")
+    known = blocks.where("doc_id IS NOT NULL")
+    first = known.groupBy("block").applyInArrow(_send_anchors(plan), SENT).groupBy("bucket").applyInArrow(_answer_anchors, NOTES)
+    second = known.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(plan), SENT).groupBy("bucket").applyInArrow(_answer_windows(look), NOTES)
+
+    def last(key: tuple[pa.Scalar, ...], table: pa.Table, notes: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return arrow.empty_table()
+        c = Candidates(table, notes, plan)
+        bits = {b: v for b, v in zip(notes.column("bucket").to_pylist(), notes.column("bits").to_pylist(), strict=True) if v is not None}
+        late, out, whole = c.marked(bits), [], set(c.block.copies)
+        cuts = np.searchsorted(c.doc, np.arange(len(c.block.ids) + 1))
+        same = {d: k for k, d in reversed(list(enumerate(c.block.digests)))}
+        for k, (i, data) in enumerate(zip(c.block.ids, c.block.texts, strict=True)):
+            size = len(plan.symbols(data))
+            if size >= plan.length and (k in whole or c.block.digests[k] in c.copied):
+                removed = np.ones(size, bool)
+            else:
+                removed = np.zeros(size, bool)
+                source = same[c.block.digests[k]] if c.block.texts[same[c.block.digests[k]]] == data else k
+                at = slice(cuts[source], cuts[source + 1])
+                starts = c.place[at][late[at]]
+                if len(starts):
+                    edges = np.zeros(size + 1, np.int64)
+                    np.add.at(edges, starts, 1)
+                    np.add.at(edges, starts + plan.length, -1)
+                    removed = np.cumsum(edges[:-1]) > 0
+            out.append((i, *finish(data, removed)))
+        return _table(out, arrow)
+
+    judged = known.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(last, schema)
+
+    def unjudged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            yield from _table([(None, *finish(d, np.zeros(len(plan.symbols(d)), bool))) for d in data], arrow).to_batches()
+
+    return judged.unionByName(rows.where("doc_id IS NULL").mapInArrow(unjudged, schema))
