@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, substring_rlz, suffix_dedup
+from . import bpe, exact_dedup, language_id, mixing, substring_rlz, suffix_dedup, url_filter
 from .common import held_out
 
 
@@ -14,6 +14,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of op1: host, path, verdict.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+MIX_ROUNDS, MIX_FRACTION = 8, 0.5
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"), rounds=MIX_ROUNDS, fraction=MIX_FRACTION)
+    return out.select("doc_id", "n_tokens", F.round("probability", 7).alias("probability"), "kept")
+
+
+def _mixing_sql() -> str:
+    """The same raking with one window sum for each step, then the search for the scale, unrolled."""
+    steps = [
+        r"""rows AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
+  coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
+  CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), 'Licensed under') THEN 'licence'
+       WHEN contains(coalesce(text, ''), '@') THEN 'contact' ELSE 'prose' END AS topic FROM documents)""",
+        "cells AS (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS n FROM rows GROUP BY ALL HAVING sum(n) > 0)",
+    ]
+    for key in ("source", "lang", "topic"):
+        steps.append(f"aim_{key} AS (SELECT {key}, sqrt(sum(n)) / sum(sqrt(sum(n))) OVER () AS aim FROM cells GROUP BY {key})")
+    steps.append("w0 AS (SELECT *, n AS w FROM cells JOIN aim_source s USING (source))".replace("*", "cells.*"))
+    order = ["source", "lang", "source", "topic"] * MIX_ROUNDS + ["source"]
+    for k, key in enumerate(order):
+        steps.append(f"w{k + 1} AS (SELECT w{k}.source, w{k}.lang, w{k}.topic, n, w * aim / sum(w) OVER (PARTITION BY w{k}.{key}) AS w FROM w{k} JOIN aim_{key} USING ({key}))")
+    steps.append(f"final AS MATERIALIZED (SELECT source, lang, topic, n, w / n AS weight FROM w{len(order)})")
+    steps.append("s0 AS (SELECT CAST(0 AS DOUBLE) AS scale)")
+    for k in range(15):
+        steps.append(
+            f"s{k + 1} AS MATERIALIZED (SELECT greatest(max(scale), coalesce(({MIX_FRACTION} * sum(n) - coalesce(sum(n) FILTER (weight * scale >= 1), 0)) / sum(n * weight) FILTER (weight * scale < 1), max(scale))) AS scale FROM final, s{k})"
+        )
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, n AS n_tokens, round(p, 7) AS probability, n > 0 AND draw < p AS kept
+FROM (SELECT doc_id, rows.n, least(1.0, coalesce(weight, 0) * scale) AS p,
+             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0 AS draw
+      FROM rows LEFT JOIN final USING (source, lang, topic), s15)
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~held_out()))
@@ -48,10 +99,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_substring_rlz": op5_substring_rlz,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op9_exact_dedup": OP9_SQL}
+ORACLES = {"op3_mixing": _mixing_sql(), "op9_exact_dedup": OP9_SQL}
