@@ -160,7 +160,7 @@ class Block:
             if self.digests[k] in copied:
                 continue
             a = self.anchors(k)
-            at = np.flatnonzero(np.isin(a, shared)) if len(a) else a
+            at = np.flatnonzero(among(a, shared))
             if len(at):
                 symbols = plan.symbols(self.texts[k])
                 out.append((grams(symbols, plan.length, BASES[0])[at], (grams(symbols, plan.length, BASES[1])[at] >> U64(32)).astype(np.uint32), np.full(len(at), k, np.int32), at.astype(np.int32)))
@@ -169,6 +169,13 @@ class Block:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array found."""
+    if not len(found):
+        return np.zeros(len(values), bool)
+    return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
+
+
 def anchor_key(anchors: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket and 32 bits within it: as buckets grow with the data, the chance of a false match stays."""
     return ((anchors % U64(buckets)) << U64(32)) | (anchors >> U64(32))
@@ -243,7 +250,7 @@ class Candidates:
         self.block = Block(table, plan)
         keys, self.copied = _shared(notes)
         anchors, repeated = self.block.all_anchors()
-        wanted = anchors[repeated | np.isin(anchor_key(anchors, plan.buckets), keys)]
+        wanted = anchors[repeated | among(anchor_key(anchors, plan.buckets), keys)]
         self.hashes, self.checks, self.doc, self.place = self.block.windows(wanted, self.copied)
         order = np.lexsort((self.doc, self.checks, self.hashes))
         h, c = self.hashes[order], self.checks[order]
