@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, substring_rlz, suffix_dedup, url_filter
+from . import bpe, embedding_dedup, exact_dedup, language_id, mixing, substring_rlz, suffix_dedup, toxicity, url_filter
 from .common import held_out
 
 
@@ -28,6 +28,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 MIX_ROUNDS, MIX_FRACTION = 8, 0.5
 
 
@@ -75,6 +79,12 @@ def op5_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_rlz.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.where(~held_out()).join(labels, "doc_id"))
+    return toxicity.score(docs, model).withColumn("held_out", held_out())
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
 
@@ -100,9 +110,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_substring_rlz": op5_substring_rlz,
+    "op6_toxicity": op6_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
