@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, mixing, substring_rlz, suffix_dedup, toxicity, url_filter
+from . import bpe, embedding_dedup, exact_dedup, language_id, mixing, parity_join, substring_rlz, suffix_dedup, toxicity, url_filter
 from .common import held_out
 
 
@@ -85,6 +85,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", held_out())
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.components(_table(spark, sf_dir, "documents"), words=4, similarity=85)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
 
@@ -115,6 +119,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_substring_rlz": op5_substring_rlz,
     "op6_toxicity": op6_toxicity,
+    "op7_parity_join": op7_parity_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,

@@ -36,3 +36,35 @@ def word_windows(docs, length=13):
 
 def byte_windows(docs, length=50):
     return substrings(docs, lambda t: list((t or "").encode()), bytes, length)
+
+
+def shingle_set(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def jaccard_components(docs, n, similarity):
+    """(id, set size, least id reachable) of (id, text)."""
+    sets = [(i, shingle_set(t, n)) for i, t in docs]
+    up = {i: i for i, _ in sets if i is not None}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    held = {}
+    for k, (i, s) in enumerate(sets):
+        for x in s if i is not None else ():
+            held.setdefault(x, []).append(k)
+    done = set()
+    for ks in held.values():
+        for x in range(len(ks)):
+            for y in ks[x + 1 :]:
+                if (ks[x], y) not in done:
+                    done.add((ks[x], y))
+                    (i, a), (j, b) = sets[ks[x]], sets[y]
+                    if 100 * len(a & b) >= similarity * len(a | b):
+                        i, j = root(i), root(j)
+                        up[max(i, j)] = min(i, j)
+    return sorted([(i, len(s), root(i) if i is not None else None) for i, s in sets], key=repr)
