@@ -36,7 +36,7 @@ def match_policies(requests: DataFrame, policies: DataFrame, conditions: dict[st
     that people write; it meets requests by domain. An empty datasets, actions or roles array fits all.
     """
     p = policies.select(*[F.col(c).alias(f"p_{c}") for c in policies.columns])
-    fits_name = (F.size("p_datasets") == 0) | F.exists("p_datasets", lambda g: F.col("name").rlike(glob(g)))
+    fits_name = (F.size("p_datasets") == 0) | F.exists("p_datasets", lambda g: F.rlike("name", glob(g)))
     fits_action = (F.size("p_actions") == 0) | F.array_contains("p_actions", "*") | F.array_contains("p_actions", F.col("action"))
     fits_role = (F.size("p_roles") == 0) | F.array_contains("p_roles", "*") | F.arrays_overlap("p_roles", "roles")
     guards = F.lit(True)

@@ -372,8 +372,8 @@ def forecast_last(spark, sf_dir):
 
 
 @query("""WITH x AS (SELECT user_id, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS x FROM events),
-l AS (SELECT user_id, count(*) AS n, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, max(y) AS only FROM x GROUP BY 1)
-SELECT user_id, CAST(step AS INTEGER) AS step, round(least(greatest(CASE WHEN n = 1 THEN only ELSE b + a * (n - 1 + step) END, 0), 180), 6) AS forecast FROM l, range(1, 4) r(step)""")
+l AS (SELECT user_id, count(*) AS n, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, max(y) AS single FROM x GROUP BY 1)
+SELECT user_id, CAST(step AS INTEGER) AS step, round(least(greatest(CASE WHEN n = 1 THEN single ELSE b + a * (n - 1 + step) END, 0), 180), 6) AS forecast FROM l, range(1, 4) r(step)""")
 def forecast_trend(spark, sf_dir):
     return models.forecast_trend(table(spark, sf_dir, "events"), "value", ["user_id"], ["ts", "event_id"], 3).select("user_id", "step", F.round("forecast", 6).alias("forecast"))
 
@@ -593,12 +593,14 @@ def json_conform(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events WHERE event_id % 10 <> 3 GROUP BY event_type")
 def stream_ingest(spark, sf_dir):
-    """The events file as a stream of messages, decoded, appended by batch to a table and drained; then read as a table."""
+    """The events as a stream of messages, decoded and appended to a table until none is left; then read as a table.
+
+    The pattern in the path lets one file stand for a watched folder."""
     from ..operators.graph import cut
 
     source = table(spark, sf_dir, "events")
     base = _scratch(spark)
-    stream = ingest.topic(spark, f"{sf_dir}/events.parquet", source.schema)
+    stream = ingest.topic(spark, f"{sf_dir}/event[s].parquet", source.schema)
     messages = stream.select("event_id", "event_type", F.when(F.col("event_id") % 10 == 3, "not json").otherwise(F.col("props")).alias("value"))
     rows = ingest.decode(messages, T.StructType([T.StructField("k", T.LongType())]), keep=("event_id", "event_type"))
     ingest.append_to(rows, f"{base}/table", f"{base}/cursor")
