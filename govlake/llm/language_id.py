@@ -25,22 +25,28 @@ from pyspark.sql import functions as F
 
 #: Bytes of a segment; bytes that a text counts as at least in its score.
 SEGMENT, LEAST = 4096, 24
+MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", sample_bytes: int = 32_768, piece: int = 1_024) -> dict[str, bytes]:
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text", sample_bytes: int = 32_768, piece: int = 1_024) -> dict[str, bytes]:
     """language -> dictionary of at most sample_bytes, from labelled rows whose lang and text are not null.
 
-    One aggregate over all rows counts the texts of each language; then about as many of them as fill the
-    dictionary twice are drawn by the hash of their id, each giving at most `piece` characters. What reaches
-    the driver is bounded by languages x 2 x sample_bytes and, twice over, by a limit.
+    One aggregate over all rows sums the bytes of each language; then about as many texts as fill the dictionary twice
+    are drawn by the hash of the text, each once however often it repeats, and each giving at most `piece`
+    characters. What reaches the driver is languages (at most MOST_LANGUAGES, else an error) x 2 x sample_bytes.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(id_col).cast("string").alias("id"), F.substring(text, 1, piece).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(F.broadcast(sizes), "lang").where(draw < 2.0 * sample_bytes / F.col("bytes")).select("lang", "id", "text")
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(text, 1, piece).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
+        return {}
+    shares = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(2.0 * sample_bytes / max(r.bytes, 1)))])
+    place = F.xxhash64("text", F.lit(17))
+    drawn = rows.where(F.pmod(place, F.lit(1 << 30)) / float(1 << 30) < F.element_at(shares, F.col("lang"))).dropDuplicates(["lang", "text"])
     out: dict[str, bytes] = defaultdict(bytes)
-    for row in sorted(sample.toLocalIterator(), key=lambda r: (r.lang, r.id)):
+    for row in sorted(drawn.select("lang", "text", place.alias("place")).toLocalIterator(), key=lambda r: (r.lang, r.place, r.text)):
         if len(out[row.lang]) < sample_bytes:
             out[row.lang] += folded(row.text).encode() + b"\n"
     return {k: v[:sample_bytes] for k, v in out.items()}
