@@ -32,6 +32,16 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+OP2_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE label IS NOT NULL AND list_inner_product(v, v) > 0 AND isfinite(list_inner_product(v, v))),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id, vec_id AS o FROM e UNION SELECT r.vec_id, y FROM r JOIN l ON o = x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT r.vec_id, coalesce(max(n), 0) AS n_links, min(o) AS component_id, min(o) = r.vec_id AS kept FROM r LEFT JOIN n ON x = r.vec_id GROUP BY r.vec_id
+"""
+
+
 MIX_ROUNDS, MIX_FRACTION = 8, 0.5
 
 
@@ -76,7 +86,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_rlz.digests(_table(spark, sf_dir, "documents"))
+    return substring_rlz.digests(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS win, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM w) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM dup)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +111,33 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.components(_table(spark, sf_dir, "documents"), words=4, similarity=85)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM both_ JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS v FROM documents UNION SELECT r.doc_id, y FROM r JOIN l ON v = x)
+SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(v) AS component_id FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d WHERE length(h) >= 100)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM w) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM dup)),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (p <> before + 1 OR before IS NULL) AS n_spans FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
+bytes AS (SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM runs))),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY p) AS kept FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +171,11 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op3_mixing": _mixing_sql(), "op9_exact_dedup": OP9_SQL}
+ORACLES = {
+    "op2_embedding_dedup": OP2_SQL,
+    "op3_mixing": _mixing_sql(),
+    "op5_substring_rlz": OP5_SQL,
+    "op7_parity_join": OP7_SQL,
+    "op8_suffix_dedup": OP8_SQL,
+    "op9_exact_dedup": OP9_SQL,
+}
