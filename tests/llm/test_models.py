@@ -138,7 +138,8 @@ def toxic_model(spark):
         if i % 4 == 0:
             words[rng.randrange(30)] = rng.choice(["idiot", "stupid", "moron", "loser"])
         rows.append((i, " ".join(words), int(i % 4 == 0)))
-    return toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.train(labelled.drop("toxic"), labelled.drop("text"))
 
 
 @pytest.mark.parametrize("text", ["you 1d10t", "an i d i o t here", "IDIOOOOOT!", "m0r0n", "l.o.s.e.r", "$tup1d", "st*pid", "i_d_i_o_t", "ｉｄｉｏｔ", "so s t u p i d"])
@@ -157,7 +158,7 @@ def test_toxicity_odd_rows(spark, toxic_model):
     got = toxicity.score(docs, toxic_model).collect()
     assert len(got) == len(rows) and [r.predicted for r in got if r.doc_id is None] == [1] and all(r.predicted == 0 for r in got if r.doc_id is not None)
     empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    assert toxicity.score(docs, toxicity.train(empty)).where("score <> 0.1").count() == 0
+    assert toxicity.score(docs, toxicity.train(empty, empty)).where("score <> 0.1").count() == 0
     assert toxicity.score(docs.limit(0), toxic_model).count() == 0
 
 
