@@ -12,8 +12,10 @@ put into its own and the next, so partners of any size meet.
    A key that a third of all documents share is one entry of each batch. Texts equal as sets are linked at once.
 2. Distinct pairs are verified: first by the Hamming distance of one-bit parity sketches, a lower bound of the symmetric
    difference, then by the intersection of the sets. Verified pairs give components.
-3. Where a key's documents still lie in several components, any two of them might link: they are compared in tiles of TILE
-   documents, each pair of tiles in its own task, and only edges that join components come out.
+3. Where a key's documents still lie in several components, any two of them might link: their one-bit sketches are
+   compared in tiles of TILE documents, each pair of tiles in its own task. Only pairs that would join components come
+   out and are verified. Keys of which such a pair fails, as the bound is just met but the similarity isn't, are
+   compared once more, and all their pairs across components that meet the bound are verified.
 
 So no group's pairs are emitted, and nothing is capped. Components are exact.
 
@@ -24,6 +26,7 @@ that share an id are one node that links with whatever any of them links. Other
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +40,7 @@ from .embedding_dedup import Unions
 from .overlap import BASES, U64, _split, _table, _values, grams, mixed, word_symbols
 
 #: Documents of a tile; least and most 64-bit words of a one-bit parity sketch.
-TILE, LEAST_SKETCH, MOST_SKETCH = 512, 16, 1024
+TILE, LEAST_SKETCH, MOST_SKETCH = 1024, 16, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -61,21 +64,24 @@ class Bands:
         """The largest symmetric difference of similar sets whose sizes sum to `together`."""
         return together * (100 - self.similarity) // (100 + self.similarity)
 
+    def _grow(self) -> None:
+        self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // self.similarity)))
+
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
-            self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // self.similarity)))
-        return int(np.searchsorted(self.starts, size, "right")) - 1
+            self._grow()
+        return bisect.bisect_right(self.starts, size) - 1
 
     def words(self, band: int) -> tuple[int, int]:
         """Words of a sketch in this band, and how many of them agree at least; (0, 0) if only equal sets are similar."""
-        self.of(self.starts[-1] if band + 1 >= len(self.starts) else 1)
+        while len(self.starts) <= band + 1:
+            self._grow()
         d = self.most_different(2 * (self.starts[band + 1] - 1))
         return (d + 3 + d // 8, 3 + d // 8) if d else (0, 0)
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         band, out = self.of(len(tokens)), []
         for b in (band, band + 1):
-            self.of(self.starts[-1])
             m, agree = self.words(b)
             if not m:
                 continue
@@ -114,9 +120,16 @@ def _facts(kind: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.full(len(a), kind, np.int32), np.asarray(a, np.int64), np.asarray(b, np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, as the keys and sets of a text take several times its memory."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _send(bands: Bands, words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             facts, keys, ids, seen = [], [], [], {}
             rows = sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0))
             sizes, unknown = [], []
@@ -180,57 +193,104 @@ def parity(tokens: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The same sketch on fewer words; both numbers are powers of two."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def _width(size: int) -> int:
-    """Sketch words for a set: about four bits a shingle, a power of two, so that all of a size band fit."""
-    return int(min(MOST_SKETCH, max(LEAST_SKETCH, 1 << int(size * 4 // 64).bit_length())))
+    """Sketch words for a set: four bits a shingle or more, a power of two, so that like sizes have like widths."""
+    return int(min(MOST_SKETCH, max(LEAST_SKETCH, 1 << max(0, size * 4 // 64).bit_length())))
 
 
-def _verify(similarity: int):
+def _near(similarity: int):
+    """Pairs whose sketches' Hamming distance doesn't exceed what similar sets can differ in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(similarity)
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for m, n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 a, b = (np.asarray(v.values).view(np.uint64) for v in (x, y))
-                width = _width(max(len(a), len(b)))
-                near = int(np.bitwise_count(parity(a, width) ^ parity(b, width)).sum()) <= bands.most_different(len(a) + len(b))
-                ok.append(near and similar(a, b, similarity))
+                width = min(len(a), len(b))
+                close = min(m, n) * 100 >= similarity * max(m, n)
+                ok.append(close and int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum()) <= bands.most_different(m + n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _tiles(similarity: int):
-    """Documents of two tiles of a key -> edges that join components."""
+def _verify(similarity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(*(np.asarray(v.values).view(np.uint64) for v in pair), similarity) for pair in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bands = Bands(similarity)
-        order = np.argsort(table.column("side").to_numpy(), kind="stable")
-        table = table.take(pa.array(order)).combine_chunks()
-        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-        column = table.column("tokens").combine_chunks()
-        sets = [np.asarray(column[i].values).view(np.uint64) for i in range(len(ids))]
-        sizes = np.array([len(s) for s in sets])
-        width = _width(int(sizes.max()))
-        sketches = np.stack([parity(s, width) for s in sets])
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The similar ones of distinct pairs(src, dst). Only pairs that pass the Hamming bound fetch the sets."""
+    one, two = (sets.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in ("src", "dst"))
+    near = pairs.join(one, "src").join(two, "dst").select("src", "dst", "src_n", "dst_n", "src_sketch", "dst_sketch").mapInArrow(_near(similarity), "src long, dst long")
+    x, y = (sets.select(F.col("id").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in ("src", "dst"))
+    return near.join(x, "src").join(y, "dst").select("src", "dst", "src_tokens", "dst_tokens").mapInArrow(_verify(similarity), "src long, dst long")
+
+
+CANDIDATE = "key long, p int, q int, src long, dst long"
+
+
+def _tiles(similarity: int, every: bool):
+    """Documents of two tiles of a key -> pairs across components that pass the Hamming bound: enough to join all components
+    that such pairs can, or every one. Pairs of `failed` have been verified and are not similar.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, failed: pa.Table) -> pa.Table:
+        names = ["key", "p", "q", "src", "dst"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        if not table.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+        table = table.take(pa.array(np.argsort(table.column("side").to_numpy(), kind="stable"))).combine_chunks()
+        ids, side, sizes = (table.column(c).to_numpy() for c in ("id", "side", "n"))
+        column = table.column("sketch").combine_chunks()
+        sketches = [np.asarray(column[i].values).view(np.uint64) for i in range(len(ids))]
+        no = set(zip(failed.column("src").to_pylist(), failed.column("dst").to_pylist(), strict=True))
         _, at = np.unique(table.column("component").to_numpy(), return_inverse=True)
         unions, edges = Unions(int(at.max()) + 1), []
         whole = key[1].as_py() == key[2].as_py()
         right = np.arange(len(ids)) if whole else np.flatnonzero(side == 1)
+        stacks: dict[int, np.ndarray] = {}  # all sketches folded to a width
         for i in range(len(ids)) if whole else np.flatnonzero(side == 0):
-            others = right[right > i]
+            others = right[right > i] if whole else right
             others = others[at[others] != at[i]]
+            others = others[np.minimum(sizes[others], sizes[i]) * 100 >= similarity * np.maximum(sizes[others], sizes[i])]
+            if not len(others):
+                continue
+            width = min(len(sketches[i]), min(len(sketches[j]) for j in others))
+            if width not in stacks:
+                stacks[width] = np.stack([folded(s, width) if len(s) >= width else np.zeros(width, np.uint64) for s in sketches])
             most = (sizes[others] + sizes[i]) * (100 - similarity) // (100 + similarity)
-            others = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(1) <= most]
-            for j in others.tolist():
-                if unions.root(at[i]) != unions.root(at[j]) and similar(sets[i], sets[j], similarity):
+            for j in others[np.bitwise_count(stacks[width][others] ^ stacks[width][i]).sum(1) <= most].tolist():
+                pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
+                if (every or unions.root(at[i]) != unions.root(at[j])) and pair not in no:
                     unions.join(at[i], at[j])
-                    edges.append((ids[i], ids[j]))
-        return pa.table({"src": pa.array([e[0] for e in edges], pa.int64()), "dst": pa.array([e[1] for e in edges], pa.int64())})
+                    edges.append(pair)
+        place = [[k.as_py()] * len(edges) for k in key]
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip([*place, [e[0] for e in edges], [e[1] for e in edges]], types, strict=True)], names=names)
 
     return run
 
 
+def _open_keys(placed: DataFrame) -> DataFrame:
+    """Keys of three documents or more in several components; of keys with the same documents one."""
+    facts = placed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too")
+    )
+    return facts.where("size > 2 AND lo < hi").groupBy("size", "who", "too").agg(F.min("key").alias("key")).select("key", "size")
+
+
 def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) for each row: size of its set, least id reachable by links, its own included."""
     n = parts(docs.sparkSession)
@@ -241,29 +301,36 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
     members = facts.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+        for batch in _slices(batches, 500):
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            sketches = [parity(s, _width(len(s))).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "sketch", "tokens"])
 
-    sets = write_shared(rows.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(tokens, "id long, tokens array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("tokens").alias("x")), "src").join(sets.select(F.col("id").alias("dst"), F.col("tokens").alias("y")), "dst")
-    links = both.select("src", "dst", "x", "y").mapInArrow(_verify(similarity), "src long, dst long")
+    sets = write_shared(rows.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
     equal = facts.where(F.col("kind") == EQUAL).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    links = write_shared(links.unionByName(equal), "links")
+    links = write_shared(verified(pairs, sets, similarity).unionByName(equal), "links")
     found = connected_components(links)
-    # keys whose documents are not yet in one component, and that the pairs with their least id don't cover
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 AND lo < hi").select("key", "size")
-    left = write_shared(placed.join(open_, "key"), "open")
-    if not left.isEmpty():
-        tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-        inside = left.join(sets, "id").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    keys, failed = None, docs.sparkSession.createDataFrame([], CANDIDATE)
+    for every in (False, True):
+        # keys whose documents are not yet in one component; in the end those of which a pair failed, and all their pairs
+        placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if keys is not None:
+            placed = placed.join(keys, "key", "left_semi")
+        left = write_shared(placed.join(_open_keys(placed), "key"), "open")
+        inside = left.join(sets.select("id", "n", "sketch"), "id").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
         meets = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-            "key", "id", "component", "tokens", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side")
+            "key", "id", "component", "n", "sketch", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side")
         )
-        more = write_shared(meets.groupBy("key", "p", "q").applyInArrow(_tiles(similarity), "src long, dst long"), "more")
-        if not more.isEmpty():
-            found = connected_components(links.unionByName(more))
+        near = write_shared(meets.groupBy("key", "p", "q").cogroup(failed.groupBy("key", "p", "q")).applyInArrow(_tiles(similarity, every), CANDIDATE), "near")
+        if near.isEmpty():
+            break
+        good = write_shared(verified(near.select("src", "dst").distinct(), sets, similarity), "more")
+        wrong = write_shared(near.join(good, ["src", "dst"], "left_anti").select("key", "p", "q", "src", "dst"), "wrong")
+        links = links.unionByName(good)
+        found = connected_components(links)
+        if wrong.isEmpty():
+            break
+        keys, failed = wrong.select("key").distinct(), failed.unionByName(wrong)
     sizes = facts.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
     out = sizes.join(found.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
