@@ -2,19 +2,22 @@
 
 A document is a sequence of symbols (words or bytes); a window is `length` consecutive symbols. Documents are cut
 into blocks by ranges of their id, so "an earlier document" means one before it in its block or any in an earlier
-block. Three rounds, each a shuffle of packed arrays instead of a row for each window:
+block. Texts that copy an earlier text as a whole are found first, by digest in Spark's own aggregates; they go
+entirely and are no reference for anything that their original isn't. Then three rounds, each a shuffle of packed arrays
+instead of a row for each window:
 
 1. Every window has an anchor, the least hash of its `gram`-symbol grams; equal windows have equal anchors. Each
-   block sends its distinct anchors (4 bytes each) and the digests of its texts to buckets chosen by hash. What
-   more than one block holds goes back to these blocks. Anchors of one block only need no further look.
-2. Each block hashes the windows whose anchor is shared (with another block or within it), leaves out documents
-   that copy an earlier text as a whole, keeps the first of equal windows, and sends the 96-bit hashes to buckets.
-   Each bucket answers, one bit a hash, whether an earlier block has it.
+   block sends its distinct anchors (4 bytes each) to buckets chosen by hash. What more than one block holds goes
+   back to these blocks. Anchors of one block only need no further look.
+2. Each block hashes the windows whose anchor is shared (with another block or within it), keeps the first of equal
+   windows, and sends the 64-bit hashes to buckets that a second, independent hash chooses. Each bucket answers, one
+   bit a hash, whether an earlier block has it.
 3. Each block marks its windows from these bits and from its own earlier documents.
 
 A key that a third of all documents hold is one entry of each block and round, so no bucket gets hot. The texts
 are shuffled once, by block; the three rounds share that exchange. Answers are bits, so they grow far less than
-the input. An error needs two different windows with equal 96-bit hashes.
+the input. An error needs two different windows with equal 64-bit hashes in one bucket; as buckets grow with the data,
+the hashes of a bucket stay as many, and so does the chance of an error for each window.
 
 Ids are integers. Rows whose id is null are no reference and keep all they have. Rows that share an id are judged
 each by its own text, and are not earlier than each other.
@@ -121,23 +124,18 @@ class Plan:
 
 
 class Block:
-    """The documents of one block by id, with the anchors of their windows. Of a text that repeats in the block the first is `fresh`."""
+    """The documents of one block by id. `copies` are whole copies of an earlier text, `fresh` the others."""
 
-    def __init__(self, table: pa.Table, plan: Plan):
+    def __init__(self, table: pa.Table, notes: pa.Table, plan: Plan):
         order = np.argsort(np.array(table.column("doc_id").to_numpy(), np.int64), kind="stable")
         self.plan = plan
         self.ids = np.array(table.column("doc_id").to_numpy(), np.int64)[order]
         texts = table.column("text").to_pylist()
         self.texts = [(texts[i] or "").encode() for i in order]
-        self.digests = [hashlib.blake2b(t, digest_size=8).digest() for t in self.texts]
-        first: dict[bytes, int] = {}
-        self.fresh, self.copies = [], []
-        for k, digest in enumerate(self.digests):
-            same = first.setdefault(digest, k)
-            if same == k or self.texts[same] != self.texts[k]:
-                self.fresh.append(k)
-            elif self.ids[same] < self.ids[k]:
-                self.copies.append(k)
+        known = {(i, d) for i, d in zip(notes.column("copy").to_pylist(), notes.column("digest").to_pylist(), strict=True) if d is not None}
+        ids = {i for i, _ in known}
+        gone = [i in ids and (i, hashlib.sha256(t).digest()) in known for i, t in zip(self.ids.tolist(), self.texts, strict=True)]
+        self.copies, self.fresh = {k for k, g in enumerate(gone) if g}, [k for k, g in enumerate(gone) if not g]
 
     def anchors(self, k: int) -> np.ndarray:
         plan = self.plan
@@ -153,19 +151,17 @@ class Block:
         found, n = np.unique(np.concatenate(own), return_counts=True)
         return found, n > 1
 
-    def windows(self, shared: np.ndarray, copied: set[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each window with a shared anchor, in documents that copy no earlier text: hash, check, document, place."""
+    def windows(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each window of a fresh text with a shared anchor: hash, second hash, document, place."""
         plan, out = self.plan, []
         for k in self.fresh:
-            if self.digests[k] in copied:
-                continue
             a = self.anchors(k)
             at = np.flatnonzero(among(a, shared))
             if len(at):
                 symbols = plan.symbols(self.texts[k])
-                out.append((grams(symbols, plan.length, BASES[0])[at], (grams(symbols, plan.length, BASES[1])[at] >> U64(32)).astype(np.uint32), np.full(len(at), k, np.int32), at.astype(np.int32)))
+                out.append((grams(symbols, plan.length, BASES[0])[at], grams(symbols, plan.length, BASES[1])[at], np.full(len(at), k, np.int32), at.astype(np.int32)))
         if not out:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -181,6 +177,15 @@ def anchor_key(anchors: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchors % U64(buckets)) << U64(32)) | (anchors >> U64(32))
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte by byte: the high bytes are zero or nearly so and shrink in the shuffle."""
+    return np.diff(hashes, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _split(keys: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     if not len(buckets):
         return
@@ -194,10 +199,10 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-SENT = "bucket int, block int, anchors array<int>, digests array<long>, hashes array<long>, checks array<int>"
-SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.list_(pa.int32())), ("digests", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32()))])
-NOTES = "block int, bucket int, anchors array<long>, digests array<long>, bits binary"
-NOTES_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.list_(pa.int64())), ("digests", pa.list_(pa.int64())), ("bits", pa.binary())])
+SENT = "bucket int, block int, anchors array<int>, hashes binary"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.list_(pa.int32())), ("hashes", pa.binary())])
+NOTES = "block int, bucket int, anchors array<long>, bits binary, copy long, digest binary"
+NOTES_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.list_(pa.int64())), ("bits", pa.binary()), ("copy", pa.int64()), ("digest", pa.binary())])
 
 
 def _values(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -208,55 +213,40 @@ def _values(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_anchors(plan: Plan):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = Block(table, plan)
-        anchors, _ = block.all_anchors()
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, notes: pa.Table) -> pa.Table:
+        anchors, _ = Block(table, notes, plan).all_anchors()
         keys = np.unique(anchor_key(anchors, plan.buckets))
-        rows = {b: [b, key[0].as_py(), keys[at].astype(np.uint32).view(np.int32), None, None, None] for b, at in _split(keys, (keys >> U64(32)).astype(np.int64))}
-        digests = np.unique(np.array([np.frombuffer(block.digests[k], np.int64)[0] for k in block.fresh], np.int64))
-        for b, at in _split(digests, (digests.view(np.uint64) % U64(plan.buckets)).astype(np.int64)):
-            rows.setdefault(b, [b, key[0].as_py(), None, None, None, None])[3] = digests[at]
-        return _table(list(rows.values()), SENT_ARROW)
+        rows = [(b, key[0].as_py(), keys[at].astype(np.uint32).view(np.int32), None) for b, at in _split(keys, (keys >> U64(32)).astype(np.int64))]
+        return _table(rows, SENT_ARROW)
 
     return run
 
 
 def _answer_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Anchors that more than one block sent go back to these; digests to all blocks but the first that sent them."""
+    """Anchors that more than one block sent go back to these."""
     blocks = np.asarray(table.column("block"))
     anchors, row = _values(table.column("anchors"), np.int32)
     anchors = anchors.view(np.uint32)
     _, at, n = np.unique(anchors, return_inverse=True, return_counts=True)
     keep = n[at] > 1
     anchors, row = (anchors[keep].astype(np.uint64) | (U64(key[0].as_py()) << U64(32))).view(np.int64), row[keep]
-    digests, owner = _values(table.column("digests"), np.int64)
-    order = np.lexsort((blocks[owner], digests))
-    late = np.zeros(len(digests), bool)
-    late[order[1:]] = digests[order[1:]] == digests[order[:-1]]
-    digests, owner = digests[late], owner[late]
-    rows = [(blocks[r], key[0].as_py(), anchors[row == r], digests[owner == r], None) for r in np.union1d(row, owner)]
-    return _table(rows, NOTES_ARROW)
-
-
-def _shared(notes: pa.Table) -> tuple[np.ndarray, set[bytes]]:
-    keys = _values(notes.column("anchors"), np.int64)[0].view(np.uint64)
-    return np.unique(keys), {int(d).to_bytes(8, "little", signed=True) for d in _values(notes.column("digests"), np.int64)[0]}
+    return _table([(blocks[row[at[0]]], key[0].as_py(), anchors[at], None, None, None) for _, at in _split(anchors, row)], NOTES_ARROW)
 
 
 class Candidates:
     """The windows of a block that round 1 could not clear: the first of each hash is sent, in order of bucket and hash."""
 
     def __init__(self, table: pa.Table, notes: pa.Table, plan: Plan):
-        self.block = Block(table, plan)
-        keys, self.copied = _shared(notes)
+        self.block = Block(table, notes, plan)
+        keys = np.unique(_values(notes.column("anchors"), np.int64)[0].view(np.uint64))
         anchors, repeated = self.block.all_anchors()
-        wanted = anchors[repeated | among(anchor_key(anchors, plan.buckets), keys)]
-        self.hashes, self.checks, self.doc, self.place = self.block.windows(wanted, self.copied)
-        order = np.lexsort((self.doc, self.checks, self.hashes))
-        h, c = self.hashes[order], self.checks[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+        self.hashes, second, self.doc, self.place = self.block.windows(anchors[repeated | among(anchor_key(anchors, plan.buckets), keys)])
+        buckets = (second % U64(plan.buckets)).astype(np.int32)
+        order = np.lexsort((self.doc, buckets, self.hashes))
+        h, b = self.hashes[order], buckets[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])] if len(h) else np.zeros(0, bool)
         self.order, self.group, self.first = order, np.cumsum(new) - 1, order[new]
-        self.buckets = (self.hashes[self.first] % U64(plan.buckets)).astype(np.int64)
+        self.buckets = buckets[self.first]
 
     def marked(self, bits: dict[int, bytes]) -> np.ndarray:
         """For each window whether it is also in an earlier document."""
@@ -275,35 +265,41 @@ def _send_windows(plan: Plan):
         if not table.num_rows:
             return _table([], SENT_ARROW)
         c = Candidates(table, notes, plan)
-        rows = [(b, key[0].as_py(), None, None, c.hashes[c.first[at]].view(np.int64), c.checks[c.first[at]].view(np.int32)) for b, at in _split(c.first, c.buckets)]
-        return _table(rows, SENT_ARROW)
+        return _table([(b, key[0].as_py(), None, packed(c.hashes[c.first[at]])) for b, at in _split(c.first, c.buckets)], SENT_ARROW)
 
     return run
 
 
-def by_sorting(batches: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For batches of distinct (hash, check), earliest first: which of a batch's are in an earlier one. One index over all, by sorting."""
-    hashes, checks = (np.concatenate(x) for x in zip(*batches, strict=True))
-    order = np.lexsort((np.arange(len(hashes)), checks, hashes))
+def by_sorting(batches: list[np.ndarray]) -> list[np.ndarray]:
+    """For batches of distinct hashes, earliest first: which of a batch's are in an earlier one. One index over all, by sorting."""
+    hashes = np.concatenate(batches)
+    order = np.argsort(hashes, kind="stable")
     late = np.zeros(len(hashes), bool)
-    late[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
-    return np.split(late, np.cumsum([len(h) for h, _ in batches])[:-1])
+    late[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
+    return np.split(late, np.cumsum([len(h) for h in batches])[:-1])
 
 
 def _answer_windows(look):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         blocks = np.asarray(table.column("block"))
         order = np.argsort(blocks, kind="stable")
-        hashes, checks = table.column("hashes").combine_chunks(), table.column("checks").combine_chunks()
-        batches = [(np.asarray(hashes[i].values).view(np.uint64), np.asarray(checks[i].values).view(np.uint32)) for i in order.tolist()]
-        rows = [(int(blocks[i]), key[0].as_py(), None, None, np.packbits(late).tobytes()) for i, late in zip(order, look(batches), strict=True) if late.any()]
+        hashes = table.column("hashes").combine_chunks()
+        batches = [unpacked(hashes[i].as_py()) for i in order.tolist()]
+        rows = [(int(blocks[i]), key[0].as_py(), None, np.packbits(late).tobytes(), None, None) for i, late in zip(order, look(batches), strict=True) if late.any()]
         return _table(rows, NOTES_ARROW)
 
     return run
 
 
+def whole_copies(known: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Notes (block, copy, digest) on documents whose text an earlier id has."""
+    least = known.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    late = blocks.join(least, "digest").where("doc_id > least")
+    return late.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("array<bigint>").alias("anchors"), F.lit(None).cast("binary").alias("bits"), F.col("doc_id").alias("copy"), "digest")
+
+
 def judge(docs: DataFrame, plan_of: Callable[[int], Plan], finish: Callable, schema: str, arrow: pa.Schema, id_col: str, text: str, look=by_sorting) -> DataFrame:
-    """finish(text, removed) -> the values of a row after its id, where removed marks the symbols that go.
+    """finish(text, removed) -> the values of a row after its id, where removed marks the symbols that go (None: none).
 
     plan_of gives the plan for a number of buckets; that number is spark.sql.shuffle.partitions, as for any shuffle.
     """
@@ -316,43 +312,40 @@ def judge(docs: DataFrame, plan_of: Callable[[int], Plan], finish: Callable, sch
 
     @F.pandas_udf("int")
     def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(bounds, ids.fillna(0).astype("int64"), "left")).astype("int32"))
+        return pd.Series(np.searchsorted(bounds, ids, "left").astype("int32"))
 
-    blocks = rows.withColumn("block", block_of("doc_id")).repartition(n, "block")
-    known = blocks.where("doc_id IS NOT NULL")
-    first = known.groupBy("block").applyInArrow(_send_anchors(plan), SENT).groupBy("bucket").applyInArrow(_answer_anchors, NOTES)
-    second = known.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(plan), SENT).groupBy("bucket").applyInArrow(_answer_windows(look), NOTES)
+    present = rows.where("doc_id IS NOT NULL")
+    known = present.withColumn("block", block_of("doc_id")).repartition(n, "block")
+    digests = present.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    copies = whole_copies(digests, digests.withColumn("block", block_of("doc_id")))
+    first = known.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_send_anchors(plan), SENT).groupBy("bucket").applyInArrow(_answer_anchors, NOTES)
+    second = known.groupBy("block").cogroup(first.unionByName(copies).groupBy("block")).applyInArrow(_send_windows(plan), SENT).groupBy("bucket").applyInArrow(_answer_windows(look), NOTES)
 
     def last(key: tuple[pa.Scalar, ...], table: pa.Table, notes: pa.Table) -> pa.Table:
         if not table.num_rows:
             return arrow.empty_table()
         c = Candidates(table, notes, plan)
         bits = {b: v for b, v in zip(notes.column("bucket").to_pylist(), notes.column("bits").to_pylist(), strict=True) if v is not None}
-        late, out, whole = c.marked(bits), [], set(c.block.copies)
-        cuts = np.searchsorted(c.doc, np.arange(len(c.block.ids) + 1))
-        same = {d: k for k, d in reversed(list(enumerate(c.block.digests)))}
+        late, out = c.marked(bits), []
+        ends = np.searchsorted(c.doc, np.arange(len(c.block.ids) + 1))
         for k, (i, data) in enumerate(zip(c.block.ids, c.block.texts, strict=True)):
-            size = len(plan.symbols(data))
-            if size >= plan.length and (k in whole or c.block.digests[k] in c.copied):
-                removed = np.ones(size, bool)
-            else:
-                removed = np.zeros(size, bool)
-                source = same[c.block.digests[k]] if c.block.texts[same[c.block.digests[k]]] == data else k
-                at = slice(cuts[source], cuts[source + 1])
-                starts = c.place[at][late[at]]
+            starts = c.place[ends[k] : ends[k + 1]][late[ends[k] : ends[k + 1]]]
+            if k in c.block.copies or len(starts):
+                size = len(plan.symbols(data))
+                removed = np.full(size, k in c.block.copies and size >= plan.length)
                 if len(starts):
-                    edges = np.zeros(size + 1, np.int64)
-                    np.add.at(edges, starts, 1)
-                    np.add.at(edges, starts + plan.length, -1)
+                    edges = np.bincount(starts, minlength=size + 1)[: size + 1] - np.bincount(starts + plan.length, minlength=size + 1)
                     removed = np.cumsum(edges[:-1]) > 0
-            out.append((i, *finish(data, removed)))
+                out.append((i, *finish(data, removed)))
+            else:
+                out.append((i, *finish(data, None)))
         return _table(out, arrow)
 
-    judged = known.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(last, schema)
+    judged = known.groupBy("block").cogroup(first.unionByName(second).unionByName(copies).groupBy("block")).applyInArrow(last, schema)
 
     def unjudged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            yield from _table([(None, *finish(d, np.zeros(len(plan.symbols(d)), bool))) for d in data], arrow).to_batches()
+            yield from _table([(None, *finish(d, None)) for d in data], arrow).to_batches()
 
     return judged.unionByName(rows.where("doc_id IS NULL").mapInArrow(unjudged, schema))

@@ -31,15 +31,21 @@ def factors(removed: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], 1).ravel()
 
 
-def _finish(data: bytes, removed: np.ndarray) -> tuple:
+def _kept(data: bytes, removed: np.ndarray | None) -> tuple[int, int, bytes, np.ndarray | tuple]:
     words = data.split()
-    kept = b" ".join([w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]) if removed.any() else b" ".join(words)
-    return len(words), int(removed.sum()), hashlib.sha256(kept).hexdigest(), factors(removed)
+    if removed is None:
+        return len(words), 0, b" ".join(words), ()
+    return len(words), int(removed.sum()), b" ".join([w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]), factors(removed)
 
 
-def _finish_text(data: bytes, removed: np.ndarray) -> tuple:
-    words = data.split()
-    return len(words), int(removed.sum()), b" ".join([w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]).decode(), factors(removed)
+def _finish(data: bytes, removed: np.ndarray | None) -> tuple:
+    n, gone, kept, spans = _kept(data, removed)
+    return n, gone, hashlib.sha256(kept).hexdigest(), spans
+
+
+def _finish_text(data: bytes, removed: np.ndarray | None) -> tuple:
+    n, gone, kept, spans = _kept(data, removed)
+    return n, gone, kept.decode(), spans
 
 
 def _run(docs: DataFrame, finish, name: str, words: int, id_col: str, text: str) -> DataFrame:

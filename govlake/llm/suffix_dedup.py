@@ -1,7 +1,7 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
 The suffixes of a block of documents are cut at `size` bytes, which is all that a match of that length compares,
-and sorted by a 96-bit hash of these bytes instead of by the bytes: any fixed order serves merging, and equal
+and sorted by a 64-bit hash of these bytes instead of by the bytes: any fixed order serves merging, and equal
 strings still lie side by side. Blocks are the batches, by ascending id. A new batch's array is merge-scanned
 against each existing level; then it becomes a level itself and levels of like size are merged, so a batch meets
 about log2 of the number of batches before it. The levels live in buckets of the hash, each in one task, and hold
@@ -26,37 +26,19 @@ GRAM = 24
 
 
 
-def _among(level: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    """Which (hash, check) a sorted level has. Equal hashes with different checks are next to each other and looked at in turn."""
-    h, c = level
-    at = np.searchsorted(h, hashes)
-    out = np.zeros(len(hashes), bool)
-    open_ = np.flatnonzero(at < len(h))
-    while len(open_):
-        open_ = open_[h[at[open_]] == hashes[open_]]
-        out[open_] |= c[at[open_]] == checks[open_]
-        at[open_] += 1
-        open_ = open_[(at[open_] < len(h)) & ~out[open_]]
-    return out
-
-
-def by_levels(batches: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each batch which of its suffixes an earlier batch has."""
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
+def by_levels(batches: list[np.ndarray]) -> list[np.ndarray]:
+    """For each batch which of its suffixes an earlier batch has. Batches come sorted, and so are the levels."""
+    levels: list[np.ndarray] = []
     found = []
-    for hashes, checks in batches:
-        late = np.zeros(len(hashes), bool)
+    for batch in batches:
+        late = np.zeros(len(batch), bool)
         for level in levels:
-            late |= _among(level, hashes, checks)
+            late |= overlap.among(batch, level)
         found.append(late)
-        order = np.lexsort((checks[~late], hashes[~late]))
-        new = (hashes[~late][order], checks[~late][order])
-        while levels and len(levels[-1][0]) <= 2 * len(new[0]):
-            old = levels.pop()
-            h, c = np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]])
-            order = np.lexsort((c, h))
-            new = (h[order], c[order])
-        if len(new[0]):
+        new = batch[~late]
+        while levels and len(levels[-1]) <= 2 * len(new):
+            new = np.sort(np.concatenate([levels.pop(), new]), kind="stable")  # merges two sorted runs
+        if len(new):
             levels.append(new)
     return found
 
@@ -65,8 +47,10 @@ def _spans(removed: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.r_[0, removed.astype(np.int8), 0])).astype(np.int32)
 
 
-def _finish(data: bytes, removed: np.ndarray) -> tuple:
-    kept = np.frombuffer(data, np.uint8)[~removed].tobytes() if removed.any() else data
+def _finish(data: bytes, removed: np.ndarray | None) -> tuple:
+    if removed is None:
+        return len(data), 0, 0, hashlib.sha256(data).hexdigest(), ()
+    kept = np.frombuffer(data, np.uint8)[~removed].tobytes()
     spans = _spans(removed)
     return len(data), int(removed.sum()), len(spans) // 2, hashlib.sha256(kept).hexdigest(), spans
 

@@ -53,6 +53,13 @@ def test_levels_find_what_earlier_batches_hold(look):
         seen |= set(batch.tolist())
 
 
+def test_packing_is_lossless():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 3000):
+        x = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (overlap.unpacked(overlap.packed(x)) == x).all()
+
+
 def test_grams_and_words():
     v = np.arange(1, 40, dtype=np.uint64)
     for n in (1, 2, 3, 5, 13, 24):
