@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Pieces up to so many characters are remembered, at most so many of them, in each worker.
-CACHED_LENGTH, CACHED_PIECES, KNOWN_PAIRS = 40, 200_000, 1_000_000
+CACHED_LENGTH, CACHED_PIECES, KNOWN_PAIRS = 40, 120_000, 500_000
 
 # The letters, numbers and blanks of Latin-1, for use inside [...] or alone.
 LATIN_1 = {
