@@ -18,11 +18,11 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", ["op1_url_filter", "op3_mixing", "op9_exact_dedup"])
 def test_native_plans_have_no_python(spark, name):
-    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_plans_read_named_columns_only(spark, name):
-    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "html" not in plan and "n_chars" not in plan and "CartesianProduct" not in plan
