@@ -32,18 +32,19 @@ UNKNOWN = "und"
 def train(labelled: DataFrame, lang: str = "lang", text: str = "text", sample_bytes: int = 32_768, piece: int = 1_024) -> dict[str, bytes]:
     """language -> dictionary of at most sample_bytes, from labelled rows whose lang and text are not null.
 
-    One aggregate over all rows sums the bytes of each language; then about as many texts as fill the dictionary twice
-    are drawn by the hash of the text, each once however often it repeats, and each giving at most `piece`
-    characters. What reaches the driver is languages (at most MOST_LANGUAGES, else an error) x 2 x sample_bytes.
+    One aggregate over the distinct hashes of the texts of each language, which tasks combine before they shuffle 16
+    bytes a text, sums the bytes of the language without its copies; then about as many distinct texts as fill the
+    dictionary twice are drawn by that hash, each giving at most `piece` characters. What reaches the driver is languages (at most MOST_LANGUAGES, else an error) x 2 x sample_bytes.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(text, 1, piece).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).limit(MOST_LANGUAGES + 1).collect()
+    place = F.xxhash64("text", F.lit(17))
+    texts = rows.groupBy("lang", place.alias("place")).agg(F.max(F.octet_length("text")).alias("bytes"))
+    sizes = texts.groupBy("lang").agg(F.sum("bytes").alias("bytes")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return {}
     shares = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(2.0 * sample_bytes / max(r.bytes, 1)))])
-    place = F.xxhash64("text", F.lit(17))
     drawn = rows.where(F.pmod(place, F.lit(1 << 30)) / float(1 << 30) < F.element_at(shares, F.col("lang"))).dropDuplicates(["lang", "text"])
     out: dict[str, bytes] = defaultdict(bytes)
     for row in sorted(drawn.select("lang", "text", place.alias("place")).toLocalIterator(), key=lambda r: (r.lang, r.place, r.text)):

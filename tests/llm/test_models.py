@@ -119,6 +119,15 @@ def test_language_odd_rows(spark):
     assert language_id.classify(docs.limit(0), model).count() == 0 and language_id.train(train.limit(0)) == {}
 
 
+def test_language_with_many_copies_fills_its_dictionary(spark):
+    word = lambda k: F.concat(F.lit("w"), F.translate(F.sha2(F.concat_ws("-", "id", F.lit(k)), 256), "0123456789", "ghijklmnop"))
+    texts = spark.range(80).select(F.concat_ws(" ", *[word(k) for k in range(12)]).alias("text"))
+    copies = spark.range(30_000).select(F.lit("the same page again and again " * 30).alias("text"))
+    model = language_id.train(texts.unionByName(copies).withColumn("lang", F.lit("rare")))
+    assert len(model["rare"]) == 32_768
+    assert model["rare"].count(b"the same page") <= 30
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op6_toxicity(spark, SF).join(labels, "doc_id").where("held_out")
