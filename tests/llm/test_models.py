@@ -161,6 +161,28 @@ def test_clean_texts_stay_low(toxic_model, text):
     assert toxicity.Scorer(toxic_model).text(text) < 0.5
 
 
+@pytest.fixture(scope="module")
+def small_model():
+    plain = ["the", "house", "garden", "river", "a", "i", "you", "are", "such", "hello", "well", "what", "an", "so", "not", "little", "over", "green"]
+    toxic = ["idiot", "stupid", "moron", "loser", "scum"]
+    trigrams = {}
+    for words, n in ((plain, 600), (toxic, 20)):
+        for w in (f"^^{w}$" for w in words):
+            for i in range(len(w) - 2):
+                trigrams[w[i : i + 3]] = trigrams.get(w[i : i + 3], 0) + n
+    return {"weights": {p: 0.98 for w in toxic for p in toxicity.parts_of(w)}, "base": 0.01, "trigrams": trigrams}
+
+
+@pytest.mark.parametrize("text", ["you are a m o r o n", "y o u a r e s c u m", "y o u  a r e  s c u m", "hello,idiot", "well...moron", "hello,1d10t", "what-a-l0ser", "I a m n o t a m o r o n", "you/m.o.r.o.n", "y o u a r e " * 20 + "s c u m"])
+def test_words_beside_blanks_and_marks_are_found(small_model, text):
+    assert toxicity.Scorer(small_model).text(text) >= 0.5
+
+
+@pytest.mark.parametrize("text", ["the garden,the house", "a b c d e", "t h e g r e e n h o u s e", "well...hello", "https://a.b/c?d=1"])
+def test_clean_words_beside_marks_stay_low(small_model, text):
+    assert toxicity.Scorer(small_model).text(text) < 0.5
+
+
 def test_toxicity_odd_rows(spark, toxic_model):
     rows = [(1, None), (1, None), (None, "you idiot"), (2, "the garden " * 50_000), (3, "x" * 300_000), (4, "1!" * 5_000)]
     docs = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, score double, predicted int").repartition(3)
