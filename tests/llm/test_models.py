@@ -183,6 +183,16 @@ def test_clean_words_beside_marks_stay_low(small_model, text):
     assert toxicity.Scorer(small_model).text(text) < 0.5
 
 
+@pytest.mark.parametrize("text", ["you iddiot", "stuupid", "so morron", "sccum", "looserr", "iiddiioott", "iddiotic", "1ddi0t", "hello,iddiot"])
+def test_doubled_letters_are_shortened(small_model, text):
+    assert toxicity.Scorer(small_model).text(text) >= 0.5
+
+
+def test_runs_are_shortened_to_the_word_and_never_lengthened():
+    scorer = toxicity.Scorer({"weights": {"asshat": 0.9, "assh*": 0.95}, "base": 0.1, "trigrams": {}})
+    assert [scorer.text(x) for x in ("asshhat", "asssshat", "ashhat", "little garden", "aash")] == [0.95, 0.95, 0.1, 0.1, 0.1]
+
+
 def test_toxicity_odd_rows(spark, toxic_model):
     rows = [(1, None), (1, None), (None, "you idiot"), (2, "the garden " * 50_000), (3, "x" * 300_000), (4, "1!" * 5_000)]
     docs = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, score double, predicted int").repartition(3)
