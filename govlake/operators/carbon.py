@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 # Grams of CO2 a kWh, and kWh a GiB scanned.
 INTENSITY = {"local": 380.0, "eu-north": 28.0, "us-west": 210.0, "ap-south": 640.0}
 KWH_PER_GIB = 0.2
@@ -40,9 +42,8 @@ def savings(log: DataFrame, against: float = max(INTENSITY.values())) -> DataFra
 
 def latency(log: DataFrame, keys: list[str], share: float = 0.95) -> DataFrame:
     """The nearest-rank percentile of ms within keys, at round(share (n - 1)) of the sorted values."""
-    place = Window.partitionBy(*keys).orderBy("ms")
-    ranked = log.select(*keys, "ms", (F.row_number().over(place) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
-    return ranked.where(F.col("k") == F.bround(share * (F.col("n") - 1))).select(*keys, F.col("ms").alias("p95_ms"), F.col("n").alias("queries"))
+    found = quantiles.at_ranks(log, keys, F.col("ms"), [lambda n: F.bround(share * (n - 1))])
+    return found.select(*keys, F.col("_r0").alias("p95_ms"), F.col("_n").alias("queries"))
 
 
 def freshness(feeds: DataFrame, now: Column) -> DataFrame:

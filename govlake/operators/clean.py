@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from . import profile
+from . import profile, quantiles
 
 
 @dataclass(frozen=True)
@@ -103,8 +103,12 @@ def impute(df: DataFrame, columns: Sequence[str] = (), strategy: str = "mean", v
     if strategy == "constant":
         fills = {c: F.lit(str(value)).try_cast(kinds[c]) for c in columns}
         return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in fills.items()})
-    how = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "mode": lambda c: F.mode(c, True)}[strategy]
-    found = df.agg(*[how(F.col(c)).alias(c) for c in columns]).first()
+    how = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}
+    if strategy == "median":
+        middle = {r.column: r.median for r in quantiles.of_columns(df, {c: F.col(c) for c in columns}, {"median": 0.5}).collect()}  # a row a column
+        found = {c: middle.get(c) for c in columns}
+    else:
+        found = df.agg(*[how[strategy](F.col(c)).alias(c) for c in columns]).first()
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     fill = lambda c: F.bround(F.lit(found[c]).cast("double"), 0) if isinstance(kinds[c], whole) and strategy != "mode" else F.lit(found[c])
     return df.withColumns({c: F.coalesce(F.col(c), fill(c).cast(kinds[c])) for c in columns if found[c] is not None})
@@ -114,8 +118,9 @@ def _limits(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
     columns = _numbers(df, columns)
     if not columns:
         return {}
-    found = df.agg(*[F.struct(F.percentile(F.col(c).cast("double"), 0.25).alias("q1"), F.percentile(F.col(c).cast("double"), 0.75).alias("q3"), F.count(c).alias("n")).alias(c) for c in columns]).first()
-    return {c: (r.q1 - 1.5 * (r.q3 - r.q1), r.q3 + 1.5 * (r.q3 - r.q1)) for c in columns if (r := found[c]).n >= 4 and r.q3 != r.q1}
+    found = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    quartiles = quantiles.quartiles(df, {c: F.col(c) for c in columns})
+    return {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, q3) in quartiles.items() if found[c] >= 4 and q3 != q1}
 
 
 def clip_outliers(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quantiles
 from .profile import NUMBERS
 
 PROTECTED = ("gender", "sex", "race", "ethnicity", "religion", "age", "nationality", "marital_status")
@@ -17,28 +18,29 @@ def anomalies(df: DataFrame, columns: Sequence[str] | None = None, z: float = 3.
     """Adds anomaly_score, the highest |z| over the numeric columns (null counts 0), and is_anomaly: |z| above z or outside the quartile fences."""
     columns = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NUMBERS)])
     v = {c: F.col(c).cast("double") for c in columns}
-    one = df.agg(*[F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"), F.count(x).alias("n")).alias(c) for c, x in v.items()]).first()
+    one = df.agg(*[F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.count(x).alias("n")).alias(c) for c, x in v.items()]).first()
+    quartiles = quantiles.quartiles(df, v)
     scores, flags = [F.lit(0.0)], F.lit(False)
     for c, x in v.items():
-        r = one[c]
+        r, (q1, q3) = one[c], quartiles[c]
         if not r.n:
             continue
         score = F.coalesce(F.abs(x - r.m) / r.s, F.lit(0.0)) if r.s else F.lit(0.0)
         scores.append(score)
         flags = flags | (score > z)
-        if r.n >= 4 and r.q3 != r.q1:
-            flags = flags | F.coalesce((x < r.q1 - 1.5 * (r.q3 - r.q1)) | (x > r.q3 + 1.5 * (r.q3 - r.q1)), F.lit(False))
+        if r.n >= 4 and q3 != q1:
+            flags = flags | F.coalesce((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1)), F.lit(False))
     return df.withColumns({"anomaly_score": F.greatest(F.lit(0.0), *scores), "is_anomaly": flags})
 
 
 def robust_z(df: DataFrame, value: str, keys: Sequence[str], threshold: float = 3.5) -> DataFrame:
     """Adds robust_z, 0.6745 (x - median) / MAD within keys, and is_anomaly; plain z if MAD is 0, 0 if the deviation is 0 too."""
     x = F.col(value).cast("double")
-    mid = df.groupBy(*keys).agg(F.percentile(x, 0.5).alias("_median"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_std"))
-    with_mid = df.join(mid, list(keys))
-    mad = with_mid.groupBy(*keys).agg(F.percentile(F.abs(x - F.col("_median")), 0.5).alias("_mad"))
+    mid = df.groupBy(*keys).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_std"))
+    with_mid = df.join(mid, list(keys)).join(quantiles.by_key(df, keys, x, {"_median": 0.5}), list(keys), "left")
+    mad = quantiles.by_key(with_mid, keys, F.abs(x - F.col("_median")), {"_mad": 0.5})
     score = F.when(F.col("_mad") > 0, 0.6745 * (x - F.col("_median")) / F.col("_mad")).when(F.col("_std") > 0, (x - F.col("_mean")) / F.col("_std")).otherwise(0.0)
-    return with_mid.join(mad, list(keys)).withColumn("robust_z", score).withColumn("is_anomaly", F.abs("robust_z") > threshold).drop("_median", "_mean", "_std", "_mad")
+    return with_mid.join(mad, list(keys), "left").withColumn("robust_z", score).withColumn("is_anomaly", F.abs("robust_z") > threshold).drop("_median", "_mean", "_std", "_mad")
 
 
 def forecast_last(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], horizon: int) -> DataFrame:

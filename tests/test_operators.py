@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govlake.functions import text as X
-from govlake.operators import access, carbon, clean, export, graph, lineage, models, privacy, profile, provenance, quality
+from govlake.operators import access, carbon, clean, export, graph, lineage, models, privacy, profile, provenance, quality, quantiles
 from govlake.plans import governed, onboard
 from govlake.sources import readers, tables
 from govlake.streaming import ingest
@@ -214,3 +214,17 @@ def test_carbon_of_unknown_region_is_worst(spark):
 
 def test_renamed_personal_columns():
     assert export.personal_after_renames(["weight"], ["weight_value", "weight_unit", "x"]) == ["weight_value", "weight_unit"]
+
+
+def test_quantiles_equal_percentile_and_need_no_buffer_of_all_values(spark):
+    rows = [("hot", float(i % 37) * 1.5) for i in range(2000)] + [("few", x) for x in (3.0, None, -1.0, float("nan"))] + [("one", 7.25), (None, 2.0), (None, 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = sorted(repr(tuple(r)) for r in quantiles.by_key(df, ["k"], F.col("v"), shares).collect())
+    want = df.groupBy("k").agg(*[F.percentile("v", s).alias(n) for n, s in shares.items()]).where("a IS NOT NULL")
+    assert got == sorted(repr(tuple(r)) for r in want.collect())
+    log = df.withColumnRenamed("v", "ms")
+    for lazy in (models.robust_z(df, "v", ["k"]), profile.counts(df), carbon.latency(log, ["k"])):
+        plan = lazy._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "row_number" not in plan
+    assert {r.k: r.p95_ms for r in carbon.latency(log, ["k"]).where("k IN ('hot', 'one')").collect()} == {"hot": sorted(r[1] for r in rows if r[0] == "hot")[1899], "one": 7.25}
