@@ -1,11 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing: documents are factored against the indexed blocks of all earlier ones.
-
-Each block of documents is indexed by its phrases of `words` consecutive words (overlap.py says how the phrases
-reach every other block that could hold them). A document is parsed greedily: a factor starts at the first phrase
-that the reference of earlier documents holds and goes on as long as the next phrase is held too, so it is a chain of
-copies of at least `words` words. At the border of a factor each phrase is checked by itself: a phrase that
-straddles the border and occurs elsewhere in the reference starts the next factor, which then overlaps. All words
-of factors are duplicate spans.
+"""Substring dedup in the place of relative Lempel-Ziv parsing: an anchor and window-hash join, without a greedy parse.
+
+Phrases of `words` consecutive words are looked up by hash among those of earlier documents (overlap.py says how they
+reach every other block that could hold them). Every phrase is looked up by itself, so nothing depends on where a
+factor would start or end; a greedy parse would have to move the reference once for each block. `factors` only turns
+the words found into spans. All words of phrases found are duplicate spans.
 
 Defined cases: a null text has no words; texts under `words` words lose nothing; null ids and repeated ids as
 overlap.py says. Equal phrases within one document only do not count. Other columns are never read.
