@@ -34,20 +34,21 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", sample_by
 
     One aggregate over the distinct hashes of the texts of each language, which tasks combine before they shuffle 16
     bytes a text, sums the bytes of the language without its copies; then about as many distinct texts as fill the
-    dictionary twice are drawn by that hash, each giving at most `piece` characters. What reaches the driver is languages (at most MOST_LANGUAGES, else an error) x 2 x sample_bytes.
+    dictionary twice are drawn by that hash, each giving at most `piece` characters from a place in it that another hash chooses. What reaches the driver is languages (at most MOST_LANGUAGES, else an error) x 2 x sample_bytes.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(text, 1, piece).alias("text"))
-    place = F.xxhash64("text", F.lit(17))
-    texts = rows.groupBy("lang", place.alias("place")).agg(F.max(F.octet_length("text")).alias("bytes"))
+    start = 1 + F.pmod(F.xxhash64(text, F.lit(18)), F.greatest(F.length(text) - piece + 1, F.lit(1)))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(text, F.lit(17)).alias("place"), F.col(text).substr(start.cast("int"), F.lit(piece)).alias("text"))
+    place = F.col("place")
+    texts = rows.groupBy("lang", "place").agg(F.max(F.octet_length("text")).alias("bytes"))
     sizes = texts.groupBy("lang").agg(F.sum("bytes").alias("bytes")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return {}
     shares = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(2.0 * sample_bytes / max(r.bytes, 1)))])
-    drawn = rows.where(F.pmod(place, F.lit(1 << 30)) / float(1 << 30) < F.element_at(shares, F.col("lang"))).dropDuplicates(["lang", "text"])
+    drawn = rows.where(F.pmod(place, F.lit(1 << 30)) / float(1 << 30) < F.element_at(shares, F.col("lang"))).dropDuplicates(["lang", "place", "text"])
     out: dict[str, bytes] = defaultdict(bytes)
-    for row in sorted(drawn.select("lang", "text", place.alias("place")).toLocalIterator(), key=lambda r: (r.lang, r.place, r.text)):
+    for row in sorted(drawn.toLocalIterator(), key=lambda r: (r.lang, r.place, r.text)):
         if len(out[row.lang]) < sample_bytes:
             out[row.lang] += folded(row.text).encode() + b"\n"
     return {k: v[:sample_bytes] for k, v in out.items()}

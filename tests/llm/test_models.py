@@ -128,6 +128,13 @@ def test_language_with_many_copies_fills_its_dictionary(spark):
     assert model["rare"].count(b"the same page") <= 30
 
 
+def test_language_learns_from_behind_a_common_head(spark):
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.translate(F.sha2(F.concat_ws("-", "id", k), 256), "0123456789", "ghijklmnop")), " ")
+    docs = spark.range(60).select(F.lit("xx").alias("lang"), F.concat(F.lit("licence terms apply " * 100), body).alias("text"))
+    model = language_id.train(docs)
+    assert len(model["xx"]) > 20_000 and model["xx"].count(b"licence") * 20 < len(model["xx"]) * 0.6
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op6_toxicity(spark, SF).join(labels, "doc_id").where("held_out")
