@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the operators define words.
@@ -14,9 +14,14 @@ LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvw
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only if none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a temporary folder serves a local master, whose executors are the driver's process; on a cluster that is an error.
+    """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="govlake-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,6 +39,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def integer_id(docs: DataFrame, id_col: str) -> Column:
+    """The id column as long; an error at once if it holds no integers."""
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must hold integers, not {kind}")
+    return F.col(id_col).cast("long")
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5):
     """Rows kept from training: crc32 of the id's text is a multiple of folds. False for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))

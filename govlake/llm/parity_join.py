@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, parts, write_shared
 from .embedding_dedup import Unions
-from .overlap import BASES, U64, _split, _table, _values, grams, mixed, word_symbols
+from .passages import BASES, U64, _values, grams, mixed, split, table_of, word_symbols
 
 #: Documents of a tile; least and most 64-bit words of a one-bit parity sketch.
 TILE, LEAST_SKETCH, MOST_SKETCH = 1024, 16, 1024
@@ -155,14 +155,14 @@ def _send(bands: Bands, words: int, buckets: int):
             names = ((keys_ % U64(buckets)) << U64(32)) | (keys_ >> U64(32))
             first, pairs, shared = _star(names, ids_)
             first.sort()
-            out = [(b, (names[first[at]]).astype(np.uint32).view(np.int32), ids_[first[at]], None, None, None) for b, at in _split(first, (names[first] >> U64(32)).astype(np.int64))]
+            out = [(b, (names[first[at]]).astype(np.uint32).view(np.int32), ids_[first[at]], None, None, None) for b, at in split(first, (names[first] >> U64(32)).astype(np.int64))]
             own = [_facts(PAIR, pairs[:, 0], pairs[:, 1]), _facts(MEMBER, names[shared].view(np.int64), ids_[shared])]
             own += [_facts(EQUAL, [f[1] for f in facts], [f[2] for f in facts]), _facts(SIZE, [s[0] for s in sizes], [s[1] for s in sizes])]
             kind, a, b = (np.concatenate(x) for x in zip(*own, strict=True))
             out.append((int(batch.num_rows + (sizes[0][0] if sizes else 0)) % buckets, None, None, kind, a, b))
             if unknown:
                 out.append((0, None, None, np.full(len(unknown), SIZE, np.int32), [None] * len(unknown), unknown))
-            yield from _table(out, SENT_ARROW).to_batches()
+            yield from table_of(out, SENT_ARROW).to_batches()
 
     return run
 
