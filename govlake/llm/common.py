@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Randomised contraction: each round maps every node to the neighbour (or itself) of least hash, drops
     edges within a new node and keeps distinct ones, so the edges shrink by a constant share however long
-    the paths are. A hub is a key of map-side combined aggregates and of joins that AQE splits.
+    the paths are. The first round takes the least node itself, as most edges come as stars around their least node. A hub is a key of map-side combined aggregates and of joins that AQE splits.
     Each round is written to the shared folder.
     """
     left = write_shared(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
@@ -66,11 +66,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if left.isEmpty():
             break
         both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = F.min(F.struct(F.xxhash64("dst", F.lit(k)).alias("h"), F.col("dst").alias("v")))
+        rank = lambda c, k=k: (F.xxhash64(c, F.lit(k)) if k else F.col(c)).alias("h")
+        least = F.min(F.struct(rank("dst"), F.col("dst").alias("v")))
         step = write_shared(
             both.groupBy("src").agg(least.alias("m")).select(
                 F.col("src").alias("node"),
-                F.when(F.struct(F.xxhash64("src", F.lit(k)).alias("h"), F.col("src").alias("v")) < F.col("m"), F.col("src")).otherwise(F.col("m.v")).alias("to"),
+                F.when(F.struct(rank("src"), F.col("src").alias("v")) < F.col("m"), F.col("src")).otherwise(F.col("m.v")).alias("to"),
             ),
             "step",
         )

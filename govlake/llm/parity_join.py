@@ -7,17 +7,21 @@ at least m - d words (pigeonhole): they meet in the join on (band, word number,
 out when more than a document's own empty words must agree, so they make no hot keys. Bands grow by 1 / s, and a set is
 put into its own and the next, so partners of any size meet.
 
-1. Each batch of documents sends its distinct keys to buckets of the key's hash; of documents of a batch that share a key
-   the first is sent, the others are paired with it on the spot. Each bucket pairs what shares a key with the least id.
-   A key that a third of all documents share is one entry of each batch. Texts equal as sets are linked at once.
-2. Distinct pairs are verified: first by the Hamming distance of one-bit parity sketches, a lower bound of the symmetric
-   difference, then by the intersection of the sets. Verified pairs give components.
-3. Where a key's documents still lie in several components, any two of them might link: their one-bit sketches are
-   compared in tiles of TILE documents, each pair of tiles in its own task. Only pairs that would join components come
-   out and are verified. Keys of which such a pair fails, as the bound is just met but the similarity isn't, are
-   compared once more, and all their pairs across components that meet the bound are verified.
-
-So no group's pairs are emitted, and nothing is capped. Components are exact.
+1. Each batch of documents sends its distinct keys to buckets of the key's hash, once for all its documents that have a key,
+   with their number. A bucket adds these up: how many documents hold each key. Keys that one document holds end there.
+2. Of a document's keys in a band at least `need` agree with those of a similar one: m - d, less its own empty words. So each document may leave out its need - 1 most frequent keys of a band
+   (ties by key, so all documents order keys alike): of the keys that two similar documents share, the rarest has need - 1
+   others above it in both, so both keep it. Documents that share a common passage and little else lose all they share.
+3. Of what is left, each key pairs its least id with each other: first within chunks of documents, then between the chunks'
+   least ids, so a hot key is one entry of each chunk. Distinct pairs are verified: first by the Hamming distance of
+   one-bit parity sketches, a lower bound of the symmetric difference, then by the intersection of the sets. Verified pairs
+   and equal sets give components.
+4. Where a key's documents still lie in several components, any two of them might link. Of keys with the same documents one
+   is taken; its documents are compared in tiles of TILE, each pair of tiles in its own task, by Hamming bound and then by
+   their sets. Only verified pairs that join components come out.
+
+Nothing is capped, and components are exact. Step 4 is quadratic in the number of documents that share a key which step 2
+leaves and yet lie in several components.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing. Texts of fewer
 words than a shingle have one shingle, the whole sequence. Rows with a null id are in no component (null). Rows
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, parts, write_shared
+from .common import connected_components, integer_id, parts, write_shared
 from .embedding_dedup import Unions
 from .passages import BASES, U64, _values, grams, mixed, split, table_of, word_symbols
 
@@ -79,45 +83,56 @@ class Bands:
         d = self.most_different(2 * (self.starts[band + 1] - 1))
         return (d + 3 + d // 8, 3 + d // 8) if d else (0, 0)
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        band, out = self.of(len(tokens)), []
+    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a set in its two bands, and for each a tag: 4 x the keys of its band that it shares with similar sets at least, + 1 in bands of odd number."""
+        band, out, tags = self.of(len(tokens)), [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for b in (band, band + 1):
             m, agree = self.words(b)
             if not m:
                 continue
-            word = (mixed(tokens + U64(b + 1)) % U64(m)).astype(np.int64)
+            word = (mixed(tokens + U64(b + 1)) % U64(m)).astype(np.uint16 if m <= 1 << 16 else np.int64)  # short ones sort by radix
             order = np.argsort(word, kind="stable")
-            at = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0])
-            used, parity = word[order][at], np.bitwise_xor.reduceat(tokens[order], at)
-            if m - len(used) >= agree:  # its empty words might be the only ones that agree
+            word = word[order]
+            at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            used, parity = word[at].astype(np.int64), np.bitwise_xor.reduceat(tokens[order], at)
+            need = max(1, agree - (m - len(used)))  # the others that agree may be empty words
+            if m - len(used) >= agree:  # even all of them
                 empty = np.setdiff1d(np.arange(m), used)
                 used, parity = np.r_[used, empty], np.r_[parity, np.zeros(len(empty), np.uint64)]
             out.append(mixed(parity + mixed(used.astype(np.uint64) + U64(b << 32))))
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            tags.append(np.full(len(used), 4 * need + b % 2, np.int32))
+        return np.concatenate(out), np.concatenate(tags)
 
 
-SENT = "bucket int, keys array<int>, ids array<long>, kind array<int>, a array<long>, b array<long>"
-SENT_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("kind", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
-FACT = "kind int, a long, b long"
-FACT_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-#: Kinds of facts: a candidate pair, a member of a key, an equal pair, the size of a document's set (a may be null).
-PAIR, MEMBER, EQUAL, SIZE = range(4)
+SENT = "bucket int, keys array<int>, ids array<long>, tags array<int>, held array<int>, kind array<int>, a array<long>, b array<long>, c array<int>"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), ("held", pa.list_(pa.int32())), ("kind", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("c", pa.list_(pa.int32()))])
+FACT = "kind int, a long, b long, c int, d int"
+FACT_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("d", pa.int32())])
+#: Kinds of facts: key, id, tag, holders; key, id, tag of a batch's other documents; key and holders for these; an equal pair; id (or null) and size of a set.
+MEMBER, OTHER, KEY, EQUAL, SIZE = range(5)
+#: The tag of the key that stands for a whole set: it is never left out.
+WHOLE = 2
 
 
-def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (key, id): places of the first of each key, and key's least id with each other id of keys that several ids have."""
+def _fact(kind: int, a, b, c=None) -> tuple[np.ndarray, ...]:
+    return np.full(len(a), kind, np.int32), np.asarray(a, np.int64), np.asarray(b, np.int64), np.zeros(len(a), np.int32) if c is None else np.asarray(c, np.int32)
+
+
+def _groups(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key and id, the places in it where a key begins, and the number of its rows."""
     order = np.lexsort((ids, keys))
-    k, i = keys[order], ids[order]
-    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    least = i[new][group] if len(k) else i
-    shared = (np.bincount(group) > 1)[group] if len(k) else new
-    rest = shared & (least != i)
-    return order[new], np.unique(np.stack([least[rest], i[rest]], 1), axis=0) if rest.any() else np.zeros((0, 2), np.int64), order[shared]
+    k = keys[order]
+    begins = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    return order, begins, np.diff(np.r_[begins, len(k)])
 
 
-def _facts(kind: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.full(len(a), kind, np.int32), np.asarray(a, np.int64), np.asarray(b, np.int64)
+def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the row with each key's least id, and distinct pairs of it with each other id of the key."""
+    order, begins, sizes = _groups(keys, ids)
+    least = np.repeat(ids[order][begins], sizes)
+    other = least != ids[order]
+    pairs = np.stack([least[other], ids[order][other]], 1)
+    return order[begins], np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
@@ -130,9 +145,9 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa
 def _send(bands: Bands, words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            facts, keys, ids, seen = [], [], [], {}
+            equal, sizes, unknown, seen = [], [], [], {}
+            keys, tags, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             rows = sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0))
-            sizes, unknown = [], []
             for i, text in rows:
                 tokens = shingles(text, words)
                 if i is None:
@@ -143,40 +158,74 @@ def _send(bands: Bands, words: int, buckets: int):
                     continue
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
                 if digest in seen:
-                    facts.append((EQUAL, seen[digest], i))
+                    equal.append((seen[digest], i))
                     continue
                 seen[digest] = i
-                k = bands.keys(tokens)
+                k, t = bands.keys(tokens)
                 # a key of its own for the whole set brings together equal sets of several batches
-                k = np.append(k, U64(int.from_bytes(digest[:8], "little")))
-                keys.append(k)
-                ids.append(np.full(len(k), i, np.int64))
-            keys_, ids_ = (np.concatenate(keys), np.concatenate(ids)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            names = ((keys_ % U64(buckets)) << U64(32)) | (keys_ >> U64(32))
-            first, pairs, shared = _star(names, ids_)
-            first.sort()
-            out = [(b, (names[first[at]]).astype(np.uint32).view(np.int32), ids_[first[at]], None, None, None) for b, at in split(first, (names[first] >> U64(32)).astype(np.int64))]
-            own = [_facts(PAIR, pairs[:, 0], pairs[:, 1]), _facts(MEMBER, names[shared].view(np.int64), ids_[shared])]
-            own += [_facts(EQUAL, [f[1] for f in facts], [f[2] for f in facts]), _facts(SIZE, [s[0] for s in sizes], [s[1] for s in sizes])]
-            kind, a, b = (np.concatenate(x) for x in zip(*own, strict=True))
-            out.append((int(batch.num_rows + (sizes[0][0] if sizes else 0)) % buckets, None, None, kind, a, b))
+                keys.append(np.append(k, U64(int.from_bytes(digest[:8], "little"))))
+                tags.append(np.append(t, np.int32(WHOLE)))
+                ids.append(np.full(len(k) + 1, i, np.int64))
+            k, t, i = np.concatenate(keys), np.concatenate(tags), np.concatenate(ids)
+            names = ((k % U64(buckets)) << U64(32)) | (k >> U64(33) << U64(1)) | (t.astype(np.uint64) & U64(1))
+            order, begins, held = _groups(names, i)
+            first = order[begins]
+            other = np.setdiff1d(order[np.repeat(held > 1, held)], first)
+            out = [(b, names[first[at]].astype(np.uint32).view(np.int32), i[first[at]], t[first[at]], held[at], None, None, None, None) for b, at in split((names[first] >> U64(32)).astype(np.int64))]
+            own = [_fact(OTHER, names[other].view(np.int64), i[other], t[other]), _fact(EQUAL, [e[0] for e in equal], [e[1] for e in equal]), _fact(SIZE, [s[0] for s in sizes], [s[1] for s in sizes])]
+            kind, a, b, c = (np.concatenate(x) for x in zip(*own, strict=True))
+            out.append((int(batch.num_rows + (sizes[0][0] if sizes else 0)) % buckets, None, None, None, None, kind, a, b, c))
             if unknown:
-                out.append((0, None, None, np.full(len(unknown), SIZE, np.int32), [None] * len(unknown), unknown))
+                out.append((0, None, None, None, None, np.full(len(unknown), SIZE, np.int32), [None] * len(unknown), unknown, [0] * len(unknown)))
             yield from table_of(out, SENT_ARROW).to_batches()
 
     return run
 
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs and members of the keys of a bucket; facts that batches found pass through."""
-    keys, _ = _values(table.column("keys"), np.int32)
-    ids, _ = _values(table.column("ids"), np.int64)
-    _, pairs, shared = _star(keys.view(np.uint32), ids)
-    names = (keys.view(np.uint32)[shared].astype(np.uint64) | (U64(key[0].as_py()) << U64(32))).view(np.int64)
-    own = [_facts(PAIR, pairs[:, 0], pairs[:, 1]), _facts(MEMBER, names, ids[shared])]
-    kind, a, b = (np.concatenate(x) for x in zip(*own, strict=True))
-    known = [table.column(n).combine_chunks().flatten() for n in ("kind", "a", "b")]
-    return pa.concat_tables([pa.Table.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], schema=FACT_ARROW), pa.Table.from_arrays(known, schema=FACT_ARROW)])
+    """Members of the bucket's keys that several documents hold, with the number of holders; facts that batches found pass through."""
+    keys, ids, tags, held = (_values(table.column(c), d)[0] for c, d in (("keys", np.int32), ("ids", np.int64), ("tags", np.int32), ("held", np.int32)))
+    order, begins, sizes = _groups(keys.view(np.uint32), ids)
+    holders = np.add.reduceat(held[order].astype(np.int64), begins) if len(begins) else begins
+    most = np.maximum.reduceat(held[order], begins) if len(begins) else begins
+    names = (keys.view(np.uint32)[order].astype(np.uint64) | (U64(key[0].as_py()) << U64(32))).view(np.int64)
+    shared = np.repeat(holders > 1, sizes)
+    inside = begins[most > 1]
+    member, others = _fact(MEMBER, names[shared], ids[order][shared], tags[order][shared]), _fact(KEY, names[inside], np.zeros(len(inside)))
+    own = pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(member, others, strict=True)] + [pa.array(np.r_[np.repeat(holders, sizes)[shared], holders[most > 1]].astype(np.int32))], schema=FACT_ARROW)
+    known = [table.column(n).combine_chunks().flatten() for n in ("kind", "a", "b", "c")]
+    return pa.concat_tables([own, pa.Table.from_arrays([*known, pa.nulls(len(known[0]), pa.int32())], schema=FACT_ARROW)])
+
+
+STAR = "key long, src long, dst long"
+
+
+def _chunk_stars(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Of (id, keys) in chunks of about `most` keys: (key, least id, null) for each key, (null, least id, id) for each pair."""
+
+    def stars(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        keys, row = _values(table.column("keys"), np.int64)
+        ids = table.column("id").to_numpy()[row]
+        first, pairs = _star(keys, ids)
+        arrays = [np.r_[keys[first], np.zeros(len(pairs), np.int64)], np.r_[ids[first], pairs[:, 0]], np.r_[np.zeros(len(first), np.int64), pairs[:, 1]]]
+        is_pair = np.arange(len(first) + len(pairs)) >= len(first)
+        yield from pa.table({"key": pa.array(arrays[0], mask=is_pair), "src": arrays[1], "dst": pa.array(arrays[2], mask=~is_pair)}).to_batches()
+
+    rows, have = [], 0
+    for batch in batches:
+        rows.append(batch)
+        have += len(batch.column(1).flatten())
+        if have >= most:
+            yield from stars(rows)
+            rows, have = [], 0
+    if rows:
+        yield from stars(rows)
+
+
+def _bucket_stars(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    _, pairs = _star(table.column("key").to_numpy(), table.column("src").to_numpy())
+    return pa.table({"src": pa.array(pairs[:, 0], pa.int64()), "dst": pa.array(pairs[:, 1], pa.int64())})
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
@@ -239,66 +288,58 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return near.join(x, "src").join(y, "dst").select("src", "dst", "src_tokens", "dst_tokens").mapInArrow(_verify(similarity), "src long, dst long")
 
 
-CANDIDATE = "key long, p int, q int, src long, dst long"
-
-
-def _tiles(similarity: int, every: bool):
-    """Documents of two tiles of a key -> pairs across components that pass the Hamming bound: enough to join all components
-    that such pairs can, or every one. Pairs of `failed` have been verified and are not similar.
-    """
+def _tiles(similarity: int):
+    """Documents of two tiles of a key -> verified pairs that join components, as (component, component)."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table, failed: pa.Table) -> pa.Table:
-        names = ["key", "p", "q", "src", "dst"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        if not table.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
-        table = table.take(pa.array(np.argsort(table.column("side").to_numpy(), kind="stable"))).combine_chunks()
-        ids, side, sizes = (table.column(c).to_numpy() for c in ("id", "side", "n"))
-        column = table.column("sketch").combine_chunks()
-        sketches = [np.asarray(column[i].values).view(np.uint64) for i in range(len(ids))]
-        no = set(zip(failed.column("src").to_pylist(), failed.column("dst").to_pylist(), strict=True))
-        _, at = np.unique(table.column("component").to_numpy(), return_inverse=True)
-        unions, edges = Unions(int(at.max()) + 1), []
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bands = Bands(similarity)
+        side, sizes = (table.column(c).to_numpy() for c in ("side", "n"))
+        columns = {c: table.column(c).combine_chunks() for c in ("sketch", "tokens")}
+        sketches = [np.asarray(x.values).view(np.uint64) for x in columns["sketch"]]
+        names, at = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        unions, edges = Unions(len(names)), []
         whole = key[1].as_py() == key[2].as_py()
-        right = np.arange(len(ids)) if whole else np.flatnonzero(side == 1)
+        order = np.argsort(sizes, kind="stable")  # partners of a set are a run of those that are not smaller
         stacks: dict[int, np.ndarray] = {}  # all sketches folded to a width
-        for i in range(len(ids)) if whole else np.flatnonzero(side == 0):
-            others = right[right > i] if whole else right
-            others = others[at[others] != at[i]]
-            others = others[np.minimum(sizes[others], sizes[i]) * 100 >= similarity * np.maximum(sizes[others], sizes[i])]
+        for place, i in enumerate(order.tolist()):
+            others = order[place + 1 : np.searchsorted(sizes[order], sizes[i] * 100 // similarity, "right")]
+            others = others[(at[others] != at[i]) & (whole | (side[others] != side[i]))]
             if not len(others):
                 continue
-            width = min(len(sketches[i]), min(len(sketches[j]) for j in others))
+            width = len(sketches[i])  # the smaller set's is not the longer one
             if width not in stacks:
                 stacks[width] = np.stack([folded(s, width) if len(s) >= width else np.zeros(width, np.uint64) for s in sketches])
             most = (sizes[others] + sizes[i]) * (100 - similarity) // (100 + similarity)
             for j in others[np.bitwise_count(stacks[width][others] ^ stacks[width][i]).sum(1) <= most].tolist():
-                pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
-                if (every or unions.root(at[i]) != unions.root(at[j])) and pair not in no:
+                if unions.root(at[i]) != unions.root(at[j]) and similar(*(np.asarray(columns["tokens"][k].values).view(np.uint64) for k in (i, j)), bands.similarity):
                     unions.join(at[i], at[j])
-                    edges.append(pair)
-        place = [[k.as_py()] * len(edges) for k in key]
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip([*place, [e[0] for e in edges], [e[1] for e in edges]], types, strict=True)], names=names)
+                    edges.append((int(names[at[i]]), int(names[at[j]])))
+        return pa.table({"src": pa.array([e[0] for e in edges], pa.int64()), "dst": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
 
 
-def _open_keys(placed: DataFrame) -> DataFrame:
-    """Keys of three documents or more in several components; of keys with the same documents one."""
-    facts = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too")
-    )
-    return facts.where("size > 2 AND lo < hi").groupBy("size", "who", "too").agg(F.min("key").alias("key")).select("key", "size")
+def rarest(facts: DataFrame) -> DataFrame:
+    """(id, keys): the keys of each document without, in each band, its need - 1 most frequent ones."""
+    members = facts.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("c").alias("tag"), F.col("d").alias("holders"))
+    others = facts.where(F.col("kind") == OTHER).select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("c").alias("tag"))
+    holders = facts.where(F.col("kind") == KEY).select(F.col("a").alias("key"), F.col("d").alias("holders"))
+    every = members.unionByName(others.join(holders, "key").select("key", "id", "tag", "holders")).repartition("id")
+    banded = every.groupBy("id", F.col("tag").bitwiseAND(3).alias("band")).agg(F.min(F.shiftright("tag", 2)).alias("need"), F.sort_array(F.collect_list(F.struct("holders", "key")), asc=False).alias("keys"))
+    left = banded.select("id", F.slice("keys", F.greatest("need", F.lit(1)), F.greatest(F.size("keys") - F.greatest("need", F.lit(1)) + 1, F.lit(0)))["key"].alias("keys"))
+    return left.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")).where(F.size("keys") > 0)
 
 
 def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) for each row: size of its set, least id reachable by links, its own included."""
     n = parts(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(integer_id(docs, id_col).alias("id"), F.col(text).alias("text"))
     sent = rows.mapInArrow(_send(Bands(similarity), words, n), SENT)
     facts = write_shared(sent.groupBy("bucket").applyInArrow(_meet, FACT), "facts")
-    pairs = facts.where(F.col("kind") == PAIR).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    members = facts.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
+    kept = write_shared(rarest(facts), "kept")
+    stars = write_shared(kept.mapInArrow(_chunk_stars, STAR), "stars")
+    meets = stars.where("key IS NOT NULL").groupBy(F.pmod("key", F.lit(n)).alias("bucket")).applyInArrow(_bucket_stars, "src long, dst long")
+    pairs = write_shared(stars.where("key IS NULL").select("src", "dst").unionByName(meets).distinct(), "pairs")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 500):
@@ -306,34 +347,25 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
             sketches = [parity(s, _width(len(s))).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "sketch", "tokens"])
 
-    sets = write_shared(rows.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
+    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+    sets = write_shared(rows.join(ends, "id", "left_semi").mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
     equal = facts.where(F.col("kind") == EQUAL).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    links = write_shared(verified(pairs, sets, similarity).unionByName(equal), "links")
-    found = connected_components(links)
-    keys, failed = None, docs.sparkSession.createDataFrame([], CANDIDATE)
-    for every in (False, True):
-        # keys whose documents are not yet in one component; in the end those of which a pair failed, and all their pairs
-        placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if keys is not None:
-            placed = placed.join(keys, "key", "left_semi")
-        left = write_shared(placed.join(_open_keys(placed), "key"), "open")
-        inside = left.join(sets.select("id", "n", "sketch"), "id").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        meets = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-            "key", "id", "component", "n", "sketch", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side")
-        )
-        near = write_shared(meets.groupBy("key", "p", "q").cogroup(failed.groupBy("key", "p", "q")).applyInArrow(_tiles(similarity, every), CANDIDATE), "near")
-        if near.isEmpty():
-            break
-        good = write_shared(verified(near.select("src", "dst").distinct(), sets, similarity), "more")
-        wrong = write_shared(near.join(good, ["src", "dst"], "left_anti").select("key", "p", "q", "src", "dst"), "wrong")
-        links = links.unionByName(good)
-        found = connected_components(links)
-        if wrong.isEmpty():
-            break
-        keys, failed = wrong.select("key").distinct(), failed.unionByName(wrong)
+    found = connected_components(verified(pairs, sets, similarity).unionByName(equal))
+    # keys whose documents are not yet in one component; of keys with the same documents one
+    placed = kept.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
+    sums = placed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too")
+    )
+    open_keys = sums.where("size > 2 AND lo < hi").groupBy("size", "who", "too").agg(F.min("key").alias("key")).select("key", "size")
+    inside = placed.join(open_keys, "key").join(sets, "id").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    tiles = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "key", "component", "n", "sketch", "tokens", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side")
+    )
+    more = connected_components(tiles.groupBy("key", "p", "q").applyInArrow(_tiles(similarity), "src long, dst long"))
     sizes = facts.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
-    out = sizes.join(found.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = sizes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    out = out.join(more.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("whole", "component").alias("component_id"))
 
 
 def dedup(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
