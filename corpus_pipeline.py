@@ -3,6 +3,11 @@
 Language ID drops what it rejects; exact dedup and the n-gram Jaccard join keep one document of each group; mixing
 samples to tempered source, language and topic marginals; the last stage encodes what is left. All stages but the
 last return the columns of documents. Each result is written as Parquet and read again as the next stage's docs.
+
+Defined cases: a null text, or one without letters, is rejected by the first stage, so the others meet none here; each would
+take it (exact dedup as empty, the join as linked with nothing, mixing as without tokens, encoding as empty). A row whose id is
+null stays in the join and is drawn by mixing as the empty id. Rows that repeat are one after exact dedup. Texts of any
+length pass whole. Extra columns are carried along whatever their names; an empty table passes as empty.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ FRACTION = 0.6
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled languages of docs; rejects texts without letters and those between two languages."""
-    judged = language_id.classify(docs.select(F.struct("*").alias("row"), "text"), language_id.train(docs), id_col="row")
-    return judged.where(~F.col("rejected")).select("row.*")
+    judged = language_id.judgement(spark, language_id.train(docs))
+    return docs.select(F.struct("*").alias("row"), judged(F.col("text")).alias("judged")).where("NOT judged.rejected").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

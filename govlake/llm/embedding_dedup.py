@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, parts, write_shared
+from .common import Unions, connected_components, integer_id, parts, write_shared
 
 #: Sign bits of a hash; rows of a block that is compared with itself and the next; rows of a tile of the exact count.
 BITS, WINDOW, TILE = 48, 64, 1024
@@ -68,22 +68,6 @@ def hashes(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.mapInArrow(run, f"id long, label {dict(vectors.dtypes)['label']}, vector array<float>, turns array<long>")
 
 
-class Unions:
-    """Sets of rows 0 to n-1, each with its least row as root."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-
 def _neighbours(threshold: float):
     """Rows of one pass in order -> edges (src, dst) of a forest over the pairs that reach the threshold within the windows."""
 

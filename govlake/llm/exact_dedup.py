@@ -4,7 +4,7 @@ Every stage groups by the digest and the whole normalised text, so texts are com
 only chooses the partition. A group of copies that holds a third of all rows leaves one row per task and salt
 after the map-side combine of the first stage, and at most `salts` rows before the last.
 
-Defined cases: a null text counts as empty. A null id loses to any other id; a group with null ids only has
+Defined cases: an empty table gives no rows; texts of any length are compared whole; a null text counts as empty. A null id loses to any other id; a group with null ids only has
 the null keep_id. Of rows that repeat the kept id and its text, one is kept. Other columns are never read.
 """
 
@@ -49,9 +49,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    norm = normalised(text)
-    mine = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(norm, 256)).alias("digest"), F.xxhash64(norm).alias("check"))
-    best = winners(docs, id_col, text, salts).select(F.col("digest").alias("d"), F.col("check").alias("c"), "keep_id")
-    stays = mine.join(best, (F.col("digest") == F.col("d")) & (F.col("check") == F.col("c")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return stays.dropDuplicates(["digest", "check", "id"]).select("row.*")
+    """The rows of docs that stay, with all their columns.
+
+    The row with the least id rides along in each stage, so there is no join back; a row's text is beside its normalised
+    text there, and they compress together.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("rank"), normalised(text).alias("norm"))
+    best = (F.min_by("row", "rank").alias("row"), F.min("rank").alias("rank"))
+    salted = rows.groupBy(F.unhex(F.sha2("norm", 256)).alias("digest"), F.pmod(F.xxhash64("rank"), F.lit(salts)).alias("salt"), "norm").agg(*best)
+    return salted.groupBy("digest", "norm").agg(best[0]).select("row.*")

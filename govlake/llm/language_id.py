@@ -8,7 +8,7 @@ Before that, letters are lower-cased and every run of other characters becomes o
 decoration and numbers weigh nothing; zstandard may match three bytes (its fast levels need more).
 
 Defined cases: a null text or one without a letter is `und` with score 0 and rejected. Equal sizes go to the
-language that comes first by name. Rows that repeat are judged alike; other columns are never read. With no
+language that comes first by name. Texts of any length are encoded whole. An empty table gives no rows. Rows that repeat are judged alike; other columns are never read. With no
 labelled text at all every row is `und`.
 """
 
@@ -17,10 +17,10 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a segment; bytes that a text counts as at least in its score.
@@ -90,22 +90,26 @@ def judge(text: str | None, compressors: list, has_letter) -> tuple[str, float,
     return compressors[order[0]][0], score, (second - best) / max(second, 1)
 
 
-def classify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text: str = "text", least_margin: float = 0.002) -> DataFrame:
-    """(id_col, lang_pred, score, margin, rejected) for each row; rejected: `und`, or the margin is below least_margin."""
-    rows = docs.select(id_col, text)
-    shared = docs.sparkSession.sparkContext.broadcast(dict(model))  # languages x sample_bytes
-    key = id_col
+def judgement(spark: SparkSession, model: dict[str, bytes], least_margin: float = 0.002) -> Callable[[Column], Column]:
+    """A function of a text column: struct(lang_pred, score, margin, rejected). Only that column goes through Python."""
+    shared = spark.sparkContext.broadcast(dict(model))  # languages x sample_bytes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double, margin double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import regex
 
         compressors, has_letter = _compressors(shared.value), regex.compile(r"\p{L}").search
-        for batch in batches:
-            got = [judge(t, compressors, has_letter) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())],
-                names=[key, "lang_pred", "score", "margin"],
-            )
-
-    out = rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, lang_pred string, score double, margin double")
-    return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < least_margin))
+        for texts in batches:
+            yield pd.DataFrame([judge(t, compressors, has_letter) for t in texts], columns=["lang_pred", "score", "margin"])
+
+    once = run.asNondeterministic()  # so that a filter on its result does not run it again
+
+    def of(text: Column) -> Column:
+        return F.transform(F.array(once(text)), lambda j: F.struct(j["lang_pred"].alias("lang_pred"), j["score"].alias("score"), j["margin"].alias("margin"), ((j["lang_pred"] == UNKNOWN) | (j["margin"] < least_margin)).alias("rejected")))[0]
+
+    return of
+
+
+def classify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text: str = "text", least_margin: float = 0.002) -> DataFrame:
+    """(id_col, lang_pred, score, margin, rejected) for each row; rejected: `und`, or the margin is below least_margin."""
+    return docs.select(F.col(id_col), judgement(docs.sparkSession, model, least_margin)(F.col(text)).alias("judged")).select(id_col, "judged.*")

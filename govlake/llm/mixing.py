@@ -10,7 +10,7 @@ through the driver. A source, language or topic that holds a third of all rows i
 
 Defined cases: null source, language or topic is a value of its own. A null or empty text has no tokens and is not
 kept. Rows that repeat are kept or dropped together, as the draw is a hash of the id (a null id draws as the
-empty text). An empty table gives no rows. Extra columns are not read.
+empty text). An empty table gives no rows. Texts of any length are counted whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,17 +44,25 @@ def _tempered(sums: dict[str, int], power: float) -> dict[str, float]:
     return {k: v / whole for k, v in raised.items()}
 
 
-def mix(
-    docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text",
-    power: float = 0.5, rounds: int = 8, fraction: float = 0.5, lang_shares: dict[str, float] | None = None, topic_shares: dict[str, float] | None = None,
-) -> DataFrame:
-    """(id_col, n_tokens, weight, probability, kept) for each row.
+def _aims(shares: dict[str, float] | None, sums: dict[str, int], power: float) -> dict[str, float]:
+    """Target shares of the values that have tokens; given ones are scaled to a sum of 1 over these."""
+    if shares is None:
+        return _tempered(sums, power)
+    have = {k: float(shares.get(k, 0.0)) if v else 0.0 for k, v in sums.items()}
+    whole = sum(have[k] for k in sorted(have))
+    if whole <= 0:
+        raise ValueError("no value with a share has tokens")
+    return {k: v / whole for k, v in have.items()}
 
-    Targets: each source's share is its tokens to the power `power`, divided by the sum of these; languages and
-    topics likewise unless shares are given (by value; "\\0" for null).
-    """
+
+def _drawn(
+    docs: DataFrame, carry: tuple[Column, ...], topic: Column | None = None, id_col: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text",
+    power: float = 0.5, rounds: int = 50, tolerance: float = 1e-6, fraction: float = 0.5,
+    source_shares: DataFrame | dict[str, float] | None = None, lang_shares: dict[str, float] | None = None, topic_shares: dict[str, float] | None = None,
+) -> DataFrame:
+    """(*carry, id, n, weight, p, kept) for each row."""
     rows = docs.select(
-        F.col(id_col).alias("id"), n_words(text).alias("n"),
+        *carry, F.col(id_col).alias("id"), n_words(text).alias("n"),
         *(F.coalesce(c.cast("string"), F.lit(NONE)).alias(k) for k, c in (("source", F.col(source)), ("lang", F.col(lang)), ("topic", kind_of_text(text) if topic is None else topic))),
     )
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("n").alias("n"))
@@ -66,24 +74,37 @@ def mix(
             raise ValueError(f"more than {MOST} values of {key}")
         return {k: v for k, v in found}
 
+    if source_shares is None:
+        nested = nested.withColumn("share", F.pow("total", F.lit(power)))
+    else:
+        if isinstance(source_shares, dict):
+            source_shares = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in source_shares.items()], "source string, share double")
+        nested = nested.join(source_shares.select("source", "share"), "source", "left").na.fill({"share": 0.0})
     flat = nested.select("source", "total", F.inline("cells"))
     langs, topics = margin(flat, "lang", F.col("n")), margin(flat, "topic", F.col("n"))
+    kept_names = [c for c in rows.columns if c not in ("source", "lang", "topic")]
     if not langs:
-        return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"))
-    whole = nested.agg(F.sum(F.pow("total", F.lit(power)))).first()[0]
-    aims = {"lang": lang_shares or _tempered(langs, power), "topic": topic_shares or _tempered(topics, power)}
+        return rows.select(*kept_names, F.lit(0.0).alias("weight"), F.lit(0.0).alias("p"), F.lit(False).alias("kept"))
+    whole = nested.agg(F.sum("share")).first()[0]
+    if not whole:
+        raise ValueError("no source with a share has tokens")
+    aims = {"lang": _aims(lang_shares, langs, power), "topic": _aims(topic_shares, topics, power)}
     factor = {"lang": dict.fromkeys(sorted(langs), 1.0), "topic": dict.fromkeys(sorted(topics), 1.0)}
 
     def weighted() -> DataFrame:
         """Cells with their factor; that of the source makes its row meet its share."""
         b, c = _literal(factor["lang"]), _literal(factor["topic"])
         inner = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + x["n"] * F.element_at(b, x["lang"]) * F.element_at(c, x["topic"]))
-        return nested.withColumn("a", F.when(inner > 0, F.pow("total", F.lit(power)) / whole / inner).otherwise(0.0)).select("source", "a", F.inline("cells")).withColumn("w", F.col("a") * F.col("n") * F.element_at(b, F.col("lang")) * F.element_at(c, F.col("topic")))
+        return nested.withColumn("a", F.when(inner > 0, F.col("share") / whole / inner).otherwise(0.0)).select("source", "a", F.inline("cells")).withColumn("w", F.col("a") * F.col("n") * F.element_at(b, F.col("lang")) * F.element_at(c, F.col("topic")))
 
     for _ in range(rounds):
+        off = 0.0  # by how much a margin misses its target before its step
         for key in ("lang", "topic"):
             now = margin(weighted(), key, F.col("w"))
+            off = max([off, *(abs(now[k] - aims[key].get(k, 0.0)) for k in now)])
             factor[key] = {k: f * (aims[key].get(k, 0.0) / now[k] if now.get(k) else 0.0) for k, f in factor[key].items()}
+        if off <= tolerance:
+            break
     final = write_shared(weighted().select("source", "lang", "topic", "n", (F.col("w") / F.col("n")).alias("weight")), "weights")
 
     budget = fraction * sum(langs.values())
@@ -96,11 +117,25 @@ def mix(
             break
         scale = max(scale, better)
     drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    out = rows.join(final.drop("n"), ["source", "lang", "topic"], "left").withColumn("p", F.least(F.lit(1.0), F.coalesce("weight", F.lit(0.0)) * scale))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("p").alias("probability"), ((F.col("n") > 0) & (drawn < F.col("p"))).alias("kept"))
+    out = rows.join(final.drop("n"), ["source", "lang", "topic"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("p", F.least(F.lit(1.0), F.col("weight") * scale))
+    return out.select(*kept_names, "weight", "p", ((F.col("n") > 0) & (drawn < F.col("p"))).alias("kept"))
+
+
+def mix(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id_col, n_tokens, weight, probability, kept) for each row.
+
+    Targets: each source's share is its tokens to the power `power`, divided by the sum of these; languages and
+    topics likewise. Other targets are given by value ("\\0" for null) as source_shares, lang_shares and topic_shares;
+    sources, of which there may be many, also as a DataFrame (source, share). Shares are scaled to a sum of 1 over the values
+    that have tokens. Raking ends when no margin misses its target by more than `tolerance`, or after `rounds`.
+
+    A document is there once, so a probability stops at 1. Cells that reach it get less than their target, and what they
+    leave goes to all others in proportion to their weights.
+    """
+    out = _drawn(docs, (), topic, id_col, **options)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), "weight", F.col("p").alias("probability"), "kept")
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    kept = mix(docs, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that are kept, with all their columns. Rows meet the weights of the cells, no row is shuffled for its id."""
+    return _drawn(docs, (F.struct("*").alias("row"),), id_col=id_col, **options).where("kept").select("row.*")

@@ -17,8 +17,8 @@ put into its own and the next, so partners of any size meet.
    one-bit parity sketches, a lower bound of the symmetric difference, then by the intersection of the sets. Verified pairs
    and equal sets give components.
 4. Where a key's documents still lie in several components, any two of them might link. Of keys with the same documents one
-   is taken; its documents are compared in tiles of TILE, each pair of tiles in its own task, by Hamming bound and then by
-   their sets. Only verified pairs that join components come out.
+   is taken; its documents are compared in tiles of TILE, each pair of tiles in its own task, by Hamming bound. Documents
+   with a possible partner in another component fetch their sets; only verified pairs that join components come out.
 
 Nothing is capped, and components are exact. Step 4 is quadratic in the number of documents that share a key which step 2
 leaves and yet lie in several components.
@@ -39,8 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, integer_id, parts, write_shared
-from .embedding_dedup import Unions
+from .common import Unions, connected_components, integer_id, parts, write_shared
 from .passages import BASES, U64, _values, grams, mixed, split, table_of, word_symbols
 
 #: Documents of a tile; least and most 64-bit words of a one-bit parity sketch.
@@ -288,33 +287,85 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return near.join(x, "src").join(y, "dst").select("src", "dst", "src_tokens", "dst_tokens").mapInArrow(_verify(similarity), "src long, dst long")
 
 
-def _tiles(similarity: int):
-    """Documents of two tiles of a key -> verified pairs that join components, as (component, component)."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of sorted rows by (key, p, q), which may lie across batches."""
+    carry = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if carry is None else [*carry.to_batches(), batch])
+        columns = [table.column(c).to_numpy() for c in ("key", "p", "q")]
+        new = np.zeros(max(0, table.num_rows - 1), bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        begins = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(begins, begins[1:], strict=False):
+            yield table.slice(a, b - a)
+        carry = table.slice(begins[-1])
+    if carry is not None and carry.num_rows:
+        yield carry
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+
+def _across(table: pa.Table, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each document of two tiles its possible partners in other components that are not smaller: size and Hamming distance allow them."""
+    side, sizes, component = (table.column(c).to_numpy() for c in ("side", "n", "component"))
+    whole = table.column("p")[0] == table.column("q")[0]
+    if component.min() == component.max():
+        return
+    sketches = [np.asarray(x.values).view(np.uint64) for x in table.column("sketch").combine_chunks()]
+    order = np.argsort(sizes, kind="stable")  # partners of a set are a run in it
+    in_order = sizes[order]
+    stacks: dict[int, np.ndarray] = {}  # all sketches folded to a width
+    for place, i in enumerate(order.tolist()):
+        others = order[place + 1 : np.searchsorted(in_order, sizes[i] * 100 // similarity, "right")]
+        others = others[component[others] != component[i]]
+        if not whole:
+            others = others[side[others] != side[i]]
+        if not len(others):
+            continue
+        width = len(sketches[i])  # the smaller set has no longer sketch
+        if width not in stacks:
+            stacks[width] = np.stack([folded(s, width) if len(s) >= width else np.zeros(width, np.uint64) for s in sketches])
+        most = (sizes[others] + sizes[i]) * (100 - similarity) // (100 + similarity)
+        others = others[np.bitwise_count(stacks[width][others] ^ stacks[width][i]).sum(1) <= most]
+        if len(others):
+            yield i, others
+
+
+NEAR = "key long, p int, q int, side int, id long, component long"
+
+
+def _near_tiles(similarity: int):
+    """The documents of two tiles of a key that have a possible partner: no more rows than there are documents."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bands = Bands(similarity)
-        side, sizes = (table.column(c).to_numpy() for c in ("side", "n"))
-        columns = {c: table.column(c).combine_chunks() for c in ("sketch", "tokens")}
-        sketches = [np.asarray(x.values).view(np.uint64) for x in columns["sketch"]]
-        names, at = np.unique(table.column("component").to_numpy(), return_inverse=True)
-        unions, edges = Unions(len(names)), []
-        whole = key[1].as_py() == key[2].as_py()
-        order = np.argsort(sizes, kind="stable")  # partners of a set are a run of those that are not smaller
-        stacks: dict[int, np.ndarray] = {}  # all sketches folded to a width
-        for place, i in enumerate(order.tolist()):
-            others = order[place + 1 : np.searchsorted(sizes[order], sizes[i] * 100 // similarity, "right")]
-            others = others[(at[others] != at[i]) & (whole | (side[others] != side[i]))]
-            if not len(others):
-                continue
-            width = len(sketches[i])  # the smaller set's is not the longer one
-            if width not in stacks:
-                stacks[width] = np.stack([folded(s, width) if len(s) >= width else np.zeros(width, np.uint64) for s in sketches])
-            most = (sizes[others] + sizes[i]) * (100 - similarity) // (100 + similarity)
-            for j in others[np.bitwise_count(stacks[width][others] ^ stacks[width][i]).sum(1) <= most].tolist():
-                if unions.root(at[i]) != unions.root(at[j]) and similar(*(np.asarray(columns["tokens"][k].values).view(np.uint64) for k in (i, j)), bands.similarity):
-                    unions.join(at[i], at[j])
-                    edges.append((int(names[at[i]]), int(names[at[j]])))
-        return pa.table({"src": pa.array([e[0] for e in edges], pa.int64()), "dst": pa.array([e[1] for e in edges], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches):
+            near = np.zeros(table.num_rows, bool)
+            for i, others in _across(table, similarity):
+                near[i] = True
+                near[others] = True
+            if near.any():
+                yield from table.select(["key", "p", "q", "side", "id", "component"]).filter(pa.array(near)).to_batches()
+
+    return run
+
+
+def _verified_tiles(similarity: int):
+    """Documents of two tiles of a key -> (component, component) of similar pairs that join components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches):
+            names, at = np.unique(table.column("component").to_numpy(), return_inverse=True)
+            tokens = [np.asarray(x.values).view(np.uint64) for x in table.column("tokens").combine_chunks()]
+            unions, edges = Unions(len(names)), []
+            for i, others in _across(table, similarity):
+                for j in others.tolist():
+                    if unions.root(at[i]) != unions.root(at[j]) and similar(tokens[i], tokens[j], similarity):
+                        unions.join(at[i], at[j])
+                        edges.append((int(names[at[i]]), int(names[at[j]])))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
     return run
 
@@ -357,11 +408,12 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
         F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too")
     )
     open_keys = sums.where("size > 2 AND lo < hi").groupBy("size", "who", "too").agg(F.min("key").alias("key")).select("key", "size")
-    inside = placed.join(open_keys, "key").join(sets, "id").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    inside = placed.join(open_keys, "key").join(sets.select("id", "n", "sketch"), "id").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "key", "component", "n", "sketch", "tokens", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side")
+        "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sketch"
     )
-    more = connected_components(tiles.groupBy("key", "p", "q").applyInArrow(_tiles(similarity), "src long, dst long"))
+    near = write_shared(_dealt(tiles).mapInArrow(_near_tiles(similarity), NEAR), "near")
+    more = connected_components(_dealt(near.join(sets, "id")).mapInArrow(_verified_tiles(similarity), "src long, dst long"))
     sizes = facts.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
     out = sizes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     out = out.join(more.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")

@@ -46,7 +46,7 @@ MIX_ROUNDS, MIX_FRACTION = 8, 0.5
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_table(spark, sf_dir, "documents"), rounds=MIX_ROUNDS, fraction=MIX_FRACTION)
+    out = mixing.mix(_table(spark, sf_dir, "documents"), rounds=MIX_ROUNDS, tolerance=-1.0, fraction=MIX_FRACTION)
     return out.select("doc_id", "n_tokens", F.round("probability", 7).alias("probability"), "kept")
 
 

@@ -82,6 +82,19 @@ def test_mixing_meets_targets(spark):
     assert kept == pytest.approx(total, rel=0.15)
 
 
+def test_mixing_meets_source_shares(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "big" if i % 3 else f"s{i % 7}", "en" if i % 4 else "fr") for i in range(3000)], "doc_id long, text string, source string, lang string")
+    shares = {"big": 0.2, "s0": 0.5, "s3": 0.3, "nowhere": 4.0}
+    for given in (shares, spark.createDataFrame(list(shares.items()), "source string, share double")):
+        both = mixing.mix(docs, fraction=0.02, source_shares=given, lang_shares={"en": 0.5, "fr": 0.5}).join(docs, "doc_id").withColumn("x", F.col("probability") * F.col("n_tokens"))
+        got = {r.source: r.x for r in both.groupBy("source").agg(F.sum("x").alias("x")).collect()}
+        whole = sum(got.values())
+        assert {k: round(v / whole, 3) for k, v in got.items() if v} == {"big": 0.2, "s0": 0.5, "s3": 0.3}
+        assert both.where("lang = 'fr'").agg(F.sum("x")).first()[0] / whole == pytest.approx(0.5, abs=1e-3)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, source_shares={"nowhere": 1.0})
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "a", "en"), (3, "one two", None, "en"), (3, "one two", None, "en"), (None, "x", "a", None), (5, " \n", "b", "fr"), (6, "w " * 50_000, "b", "fr")]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, lang string, weight int, n int")
