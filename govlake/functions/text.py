@@ -62,13 +62,18 @@ def unit_name(c: Column) -> Column:
     return F.when(c.rlike(WITH_UNIT), F.regexp_extract(c, WITH_UNIT, 2))
 
 
+def number(c: Column) -> Column:
+    """Stripped text as double if it is written as a number; Spark's own cast would take `12f` and `7d`, too."""
+    return F.when(c.rlike(FLOAT), c.try_cast("double"))
+
+
 def coerce(c: Column, target: str) -> Column:
     """Text as int, double, bool, date or timestamp (UTC); null if it can't be read so."""
     s = strip(c)
     if target in ("int", "long"):
         return F.when(s.rlike(INT), s.try_cast("long"))
     if target in ("double", "float"):
-        return s.try_cast("double")
+        return number(s)
     if target == "bool":
         return F.when(F.lower(s).isin(*TRUE_WORDS), True).when(F.lower(s).isin(*FALSE_WORDS), False)
     if target == "date":

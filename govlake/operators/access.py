@@ -20,13 +20,38 @@ def glob(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
+TOKEN = re.compile(r"""\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)|(?P<sign>==|!=|<=|>=|[<>()\[\],-]))""")
+SIGNS = {"==": "=", "!=": "<>", "[": "(", "]": ")"}
+WORDS = {"and": "AND", "or": "OR", "not": "NOT", "in": "IN", "true": "TRUE", "false": "FALSE", "none": "NULL"}
+
+
 def guard(condition: str) -> Column:
-    """A guard such as `principal.region == "EU" and resource.rows > 10` as a boolean column over request rows.
+    """A guard such as `principal.region in ["EU", "CH"] and resource.rows > 10` as a boolean column over request rows.
 
-    Dots become struct access, == and != become = and <>; the rest is SQL. Null counts as false.
+    Names with dots (struct fields), texts, numbers, lists, comparisons, in, and, or, not and parentheses; anything else, calls of
+    functions above all, is an error. Null counts as false.
     """
-    sql = re.sub(r"==", "=", condition.replace("!=", "<>"))
-    return F.coalesce(F.expr(sql), F.lit(False))
+    out, at, before = [], 0, ""
+    text = condition.strip()
+    while at < len(text):
+        m = TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"not a guard at {text[at:at + 20]!r}")
+        kind, value = m.lastgroup, m[m.lastgroup]
+        if value == "(" and before == "name":
+            raise ValueError("a guard calls no functions")
+        if kind == "text":
+            plain = re.sub(r"\\(.)", r"\1", value[1:-1])
+            out.append("'" + plain.replace("\\", "\\\\").replace("'", "\\'") + "'")
+        elif kind == "name" and value.lower() in WORDS:
+            out.append(WORDS[value.lower()])
+            kind = "word"
+        elif kind == "name":
+            out.append(".".join(f"`{p}`" for p in value.split(".")))
+        else:
+            out.append(SIGNS.get(value, value))
+        at, before = m.end(), kind
+    return F.coalesce(F.expr(" ".join(out)), F.lit(False))
 
 
 def match_policies(requests: DataFrame, policies: DataFrame, conditions: dict[str, str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.shared import write_shared
 from . import privacy, provenance
 
 
@@ -32,8 +33,12 @@ def row_text(df: DataFrame, dataset: str, pii: Sequence[str], index: str) -> Dat
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "_i") -> DataFrame:
-    """Adds a dense index from 0 in the given order: counts of range partitions first, then places within each."""
-    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    """Adds a dense index from 0 in the given order: counts of range partitions first, then places within each.
+
+    The dealt rows are written once: two plans of the same ranges would sample other borders, and sizes would not fit places.
+    """
+    dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    parts = write_shared(dealt, "numbered")
     local = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # as many rows as partitions

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint, in the folder of spark.checkpoint.dir; a temporary one is set only if there is none."""
+    """Checkpoint, in the folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="govlake-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Sequence
 from functools import reduce
 
@@ -58,22 +59,30 @@ def aggregate_only(df: DataFrame) -> DataFrame:
     return df
 
 
-def laplace(c: Column, scale: float, seed: int) -> Column:
-    u = F.rand(seed) - 0.5
+def laplace(c: Column, scale: float, u: Column) -> Column:
+    """c with noise of this scale; u is even in [0, 1)."""
+    u = u - 0.5
     return c - F.lit(scale) * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
 
-def differential_privacy(df: DataFrame, columns: Sequence[str], epsilon: float = 1.0, sensitivity: float = 1.0, seed: int = 0) -> DataFrame:
-    """Laplace noise on the named result columns. Meant for small results: they are put into one ordered partition,
-    so that the noise depends on the seed only. Whole numbers are rounded half to even."""
+def differential_privacy(df: DataFrame, columns: Sequence[str] | None = None, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int | None = None) -> DataFrame:
+    """Laplace noise on every numeric result column, or on the named ones; refused if there is none, as the exact result would leave.
+
+    Each call draws fresh noise. With a seed, for tests, the noise of a row hangs on the seed and its other columns, so it is
+    the same however the rows are dealt. Whole numbers are rounded half to even.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
+    columns = [c for c, t in kinds.items() if isinstance(t, T.NumericType)] if columns is None else list(columns)
+    if not columns:
+        raise PermissionError("no numeric column can carry the noise that is asked for")
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    flat = df.orderBy(*[c for c in df.columns if c not in columns]).coalesce(1) if len(columns) < len(df.columns) else df.coalesce(1)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     out = {}
     for i, c in enumerate(columns):
-        noisy = laplace(F.col(c).cast("double"), sensitivity / epsilon, seed * 1_000 + i)
-        out[c] = F.when(F.col(c).isNotNull(), (F.bround(noisy, 0) if isinstance(kinds[c], whole) else noisy).cast(kinds[c]))
-    return flat.withColumns(out)
+        u = F.rand(secrets.randbits(62)) if seed is None else F.pmod(F.xxhash64(*rest, F.lit(seed), F.lit(i)), F.lit(1 << 52)) / float(1 << 52)
+        noisy = laplace(F.col(f"`{c}`").cast("double"), sensitivity / epsilon, u)
+        out[c] = F.when(F.col(f"`{c}`").isNotNull(), (F.bround(noisy, 0) if isinstance(kinds[c], whole) else noisy).cast(kinds[c]))
+    return df.withColumns(out)
 
 
 def merge_obligations(obligations: DataFrame) -> DataFrame:
@@ -81,11 +90,11 @@ def merge_obligations(obligations: DataFrame) -> DataFrame:
     return obligations.groupBy("request", "dataset", "kind").agg(F.min("epsilon").alias("epsilon"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("fields", F.array().cast("array<string>")))))).alias("fields"))
 
 
-def apply_obligations(df: DataFrame, obligations: Sequence[dict], seed: int = 0, noisy: Sequence[str] = ()) -> DataFrame:
-    """In order: mask, aggregate_only, differential_privacy on `noisy`. Kinds without an effect on rows are skipped."""
+def apply_obligations(df: DataFrame, obligations: Sequence[dict], seed: int | None = None, noisy: Sequence[str] | None = None) -> DataFrame:
+    """In order: mask, aggregate_only, differential_privacy on all numeric columns or on `noisy`. Kinds without an effect on rows are skipped."""
     steps = {
         "mask": lambda d, o: mask(d, o.get("fields", ()), o.get("strategy", "hash")), "aggregate_only": lambda d, o: aggregate_only(d),
-        "differential_privacy": lambda d, o: differential_privacy(d, [c for c in noisy if c in d.columns], o.get("epsilon", 1.0), seed=seed),
+        "differential_privacy": lambda d, o: differential_privacy(d, noisy, o.get("epsilon", 1.0), seed=seed),
     }
     return reduce(lambda d, o: steps.get(o["kind"], lambda x, _: x)(d, o), obligations, df)
 

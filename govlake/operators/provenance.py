@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """One row (rows, digest): the count and the sum of row hashes, whatever the order. Equal rows add up, they don't cancel."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(38,0)")).alias("digest"))
+    """One row (rows, digest): the count, and a sha256 in hex over sums of the rows' sha256, whatever their order.
 
+    A row is hashed as JSON with its nulls and column names, so a value can't move to another column. Equal rows add up, they don't cancel.
+    """
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+    lanes = [F.sum(F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).alias(f"_{k}") for k in range(5)]
+    sums = df.agg(F.count(F.lit(1)).alias("rows"), *lanes)
+    return sums.select("rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *[F.coalesce(F.col(f"_{k}").cast("string"), F.lit("0")) for k in range(5)]), 256).alias("digest"))
 
-def sign(payload: Column, key: bytes) -> Column:
-    """HMAC-SHA256 in hex of a text column. The key stays in the closure; use one for each trust domain."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hmac.new(key, v.encode(), hashlib.sha256).hexdigest())
 
-    return run(payload)
+def sign(payload: Column, key: bytes) -> Column:
+    """HMAC-SHA256 in hex of a text column, as two nested sha2. Plans hold the padded key: keep event logs as safe as it."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, payload.cast("binary")), 256))), 256)
 
 
 def verify(assets: DataFrame, key: bytes) -> DataFrame:

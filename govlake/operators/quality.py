@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def _violations(rule: Rule, now: Column) -> Column | None:
     if rule.kind == "enum":
         return F.count_if(~c.isin(*p["values"]))
     if rule.kind == "freshness":
-        age = F.unix_timestamp(now) - F.unix_timestamp(c.cast("timestamp"))
+        age = F.unix_timestamp(now) - F.unix_timestamp(c.try_cast("timestamp"))
         return F.count_if(age > p.get("max_age_seconds", 86_400))
     if rule.kind == "custom":
         return p["violations"]
@@ -46,7 +47,7 @@ def _violations(rule: Rule, now: Column) -> Column | None:
 def evaluate(df: DataFrame, rules: Sequence[Rule], now: Column | None = None, parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """(rule_id, kind, field, severity, sampled, violations, passed, message), a row for each rule.
 
-    A missing field fails with one violation; a kind that is not known passes with a message. A referential rule
+    A missing field fails with one violation, and so does a rule that raises; a kind that is not known passes with a message. A referential rule
     {"table", "column"} is an anti join of distinct child values' counts with the parent's keys.
     """
     now = F.current_timestamp() if now is None else now
@@ -57,7 +58,13 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], now: Column | None = None, pa
             continue
         if rule.kind == "referential":
             continue
-        found = _violations(rule, now)
+        try:
+            found = _violations(rule, now)
+            if found is not None:
+                df.agg(found)  # resolves it: a rule that can't be read fails alone
+        except (AnalysisException, KeyError, TypeError) as e:
+            notes[k] = (0, 1, False, f"rule can't be evaluated: {type(e).__name__}")
+            continue
         if found is None:
             notes[k] = (0, 0, True, f"unknown kind {rule.kind}")
             continue

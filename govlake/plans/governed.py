@@ -6,24 +6,24 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import carbon, privacy
+from ..operators import access, carbon, privacy
 
 
 @dataclass(frozen=True)
 class Grant:
-    """What authorization left for a query: masked fields, noise, at most one row."""
+    """What authorization left for a query: masked fields, noise (on all numeric result columns unless named), at most one row."""
 
     masked: Mapping[str, Sequence[str]] = field(default_factory=dict)
     strategy: str = "hash"
     epsilon: float | None = None
-    noisy: Sequence[str] = ()
+    noisy: Sequence[str] | None = None
     one_row: bool = False
 
 
-def run(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], grant: Grant | None = None, limit: int | None = None, seed: int = 0) -> DataFrame:
+def run(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], grant: Grant | None = None, limit: int | None = None, seed: int | None = None) -> DataFrame:
     """The result of sql over views of the tables, lazily. Masks sit in the views, so an alias can't reach a raw value, and
     Catalyst prunes them like any projection; a result column named like a masked field is refused besides."""
     grant = grant or Grant()
@@ -35,7 +35,7 @@ def run(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], grant: G
     if grant.one_row:
         out = privacy.aggregate_only(out)
     if grant.epsilon is not None:
-        out = privacy.differential_privacy(out, [c for c in grant.noisy if c in out.columns], grant.epsilon, seed=seed)
+        out = privacy.differential_privacy(out, grant.noisy, grant.epsilon, seed=seed)
     return out if limit is None else out.limit(limit)
 
 
@@ -46,3 +46,63 @@ def audit(spark: SparkSession, subject: str, sql: str, datasets: Sequence[str],
         F.lit(status).alias("status"), F.lit(bytes_).cast("long").alias("bytes"), F.lit(region).alias("region"), F.lit(epsilon).alias("epsilon"),
     )
     return carbon.accounted(row)
+
+
+LEDGER = "subject string, dataset string, epsilon double"
+
+
+def grant_of(decisions: Sequence[Row], fields: Mapping[str, Sequence[str]]) -> Grant:
+    """What the obligations of all datasets of a query leave: (dataset, obligations) rows, personal fields by dataset."""
+    asked = [(r.dataset, *o.partition(":")[::2]) for r in decisions for o in r.obligations]
+    return Grant(
+        masked={d: list(fields.get(d, ())) for d, kind, _ in asked if kind == "mask"},
+        strategy=next((rest for _, kind, rest in asked if kind == "mask"), "hash"),
+        epsilon=min((float(rest) for _, kind, rest in asked if kind == "differential_privacy"), default=None),
+        one_row=any(kind == "aggregate_only" for _, kind, _ in asked),
+    )
+
+
+def query(
+    spark: SparkSession, subject: str, roles: Sequence[str], region: str, sql: str, tables: Mapping[str, DataFrame], datasets: DataFrame, policies: DataFrame, base: str,
+    action: str = "query", budget: float = 1.0, epsilon: float = 0.1, limit: int | None = None, bytes_: int = 0, seed: int | None = None, **how,
+) -> DataFrame:
+    """Governed SQL from request to audit: authorize each dataset, check the budget, run under the obligations, spend, log.
+
+    tables are by dataset id, as in `datasets` (see access.authorize). Ledger and log are tables appended to below base.
+    A refusal is logged as denied and raised as PermissionError: a dataset that may not be used, a raw personal column in
+    the result, or an epsilon that the rest of the subject's budget for a dataset doesn't cover.
+    """
+    log, ledger = f"{base.rstrip('/')}/log", f"{base.rstrip('/')}/ledger"
+
+    def note(status: str, spent: float = 0.0) -> None:
+        audit(spark, subject, sql, sorted(tables), bytes_, region, status, spent).write.mode("append").parquet(log)
+
+    def refuse(why: str) -> PermissionError:
+        note("denied")
+        return PermissionError(why)
+
+    requests = spark.createDataFrame(
+        [(name, subject, list(roles), region, region, action, name) for name in tables], "request string, subject string, roles array<string>, region string, jurisdiction string, action string, dataset string"
+    )
+    decisions = access.authorize(requests, datasets, policies, epsilon=epsilon, **how).collect()  # a row a table of the query
+    denied = [f"{r.dataset}: {r.reason}" for r in decisions if not r.allow]
+    if denied:
+        raise refuse("; ".join(sorted(denied)))
+    personal = {r.dataset: r.pii_fields for r in datasets.where(F.col("dataset").isin(*tables)).select("dataset", "pii_fields").collect()}
+    grant = grant_of(decisions, personal)
+    private = sorted({r.dataset for r in decisions for o in r.obligations if o.startswith("differential_privacy")})
+    if grant.epsilon is not None:
+        spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
+        left = spark.read.schema(LEDGER).parquet(ledger).where((F.col("subject") == subject) & F.col("dataset").isin(*private))
+        spent = {r.dataset: r.spent for r in privacy.budgets(left, budget).select("dataset", "spent").collect()}
+        poor = [d for d in private if spent.get(d, 0.0) + grant.epsilon > budget + 1e-9]
+        if poor:
+            raise refuse(f"budget spent for {', '.join(poor)}")
+    try:
+        out = run(spark, sql, tables, grant, limit, seed)
+    except PermissionError as e:
+        raise refuse(str(e)) from e
+    if grant.epsilon is not None:
+        spark.createDataFrame([(subject, d, grant.epsilon) for d in private], LEDGER).write.mode("append").parquet(ledger)
+    note("ok", grant.epsilon or 0.0)
+    return out

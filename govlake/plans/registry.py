@@ -5,6 +5,7 @@ The test tables are clean, so cleaning and quality queries first derive dirt fro
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..functions import text as X
 from ..operators import access, carbon, catalog, clean, export, graph, lineage, models, privacy, profile, provenance, quality
 from ..operators.quality import Rule
 from ..sources import readers
+from ..sources.shared import shared_dir
 from ..streaming import ingest
 from . import governed
 
@@ -97,9 +99,32 @@ def dp_exact_base(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query()
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, TRUE AS noisy, TRUE AS near FROM orders GROUP BY o_orderstatus")
 def dp_aggregate(spark, sf_dir):
-    return privacy.differential_privacy(dp_exact_base(spark, sf_dir), ["n", "total"], epsilon=1.0, seed=7)
+    """The exact sums beside whether noise moved them, and by no more than noise of this scale does but once in 10^17."""
+    exact = dp_exact_base(spark, sf_dir)
+    noise = privacy.differential_privacy(exact, epsilon=1.0).select(F.col("o_orderstatus").alias("s"), F.col("n").alias("m"), F.col("total").alias("t"))
+    off = F.abs(F.col("t") - F.col("total"))
+    return exact.join(noise, F.col("o_orderstatus") == F.col("s")).select("o_orderstatus", "n", "total", (off > 0).alias("noisy"), ((off < 40) & (F.abs(F.col("m") - F.col("n")) <= 40)).alias("near"))
+
+
+@query("SELECT * FROM (VALUES ('ann', 'ok', 2), ('ann', 'denied', 3), ('bob', 'ok', 1), ('eve', 'denied', 1)) t(subject, status, calls), (SELECT count(*) AS orders FROM orders)")
+def governed_denied(spark, sf_dir):
+    """Governed SQL over orders until the budget is spent, and with what may not leave: the log of it all, beside the rows asked about."""
+    orders = table(spark, sf_dir, "orders")
+    columns = "dataset string, domain string, name string, owner string, code string, place string, residency_required boolean, pii_fields array<string>, sensitive boolean"
+    facts = spark.createDataFrame([("orders", "sales", "orders", "boss", "EU", "EU", True, ["o_clerk"], True)], columns)
+    none = spark.createDataFrame([], "id string, position int, domain string, datasets array<string>, actions array<string>, roles array<string>, effect string, obligations array<string>")
+    base = _scratch(spark)
+    count = "SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM {orders} GROUP BY o_orderstatus"
+    calls = [("ann", "EU", count, "query"), ("ann", "EU", count, "query"), ("ann", "EU", count, "query"), ("ann", "EU", "SELECT o_clerk FROM {orders}", "query"), ("ann", "EU", count, "read"), ("bob", "EU", count, "query"), ("eve", "US", count, "query")]
+    for who, region, sql, action in calls:
+        try:
+            governed.query(spark, who, ["reader"], region, sql, {"orders": orders}, facts, none, base, action=action, budget=0.25)
+        except PermissionError:
+            pass  # the log says so
+    log = spark.read.parquet(f"{base}/log").groupBy("subject", "status").agg(F.count(F.lit(1)).cast("int").alias("calls"))
+    return log.crossJoin(F.broadcast(orders.agg(F.count(F.lit(1)).alias("orders"))))  # one row on the right
 
 
 @query("""WITH ledger AS (SELECT 'user' || CAST(user_id % 40 AS VARCHAR) AS subject, event_type AS dataset, CASE WHEN value > 50 THEN 0.25 ELSE 0.125 END AS epsilon FROM events)
@@ -609,14 +634,7 @@ def stream_ingest(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="govlake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 # ---- catalog ----------------------------------------------------------------------------------------------------

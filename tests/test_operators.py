@@ -120,6 +120,12 @@ def test_masks_guard_and_noise(spark):
 def test_guards_and_globs(spark):
     rows = spark.createDataFrame([(("EU",), 5), (("US",), None)], "principal struct<region string>, rows int")
     assert [r[0] for r in rows.select(access.guard("principal.region == 'EU' and rows > 3")).collect()] == [True, False]
+    ask = lambda g: [r[0] for r in rows.select(access.guard(g)).collect()]
+    assert ask('principal.region in ["EU", "CH"]') == [True, False] and ask("not (principal.region in ['EU'])") == [False, True]
+    assert ask('principal.region != "a==b"') == [True, True] and ask("rows >= 5 or rows == 7") == [True, False] and ask('principal.region == "it\'s"') == [False, False]
+    for bad in ("reflect('java.lang.System', 'exit', 1)", "rows; drop", "`rows` > 1", "rows > (select 1)"):
+        with pytest.raises(Exception):  # noqa: B017
+            ask(bad)
     globs = spark.createDataFrame([("loan*", "loans"), ("l?n", "loan"), ("a.b", "axb")], "g string, n string")
     assert [r[0] for r in globs.select(F.rlike("n", access.glob(F.col("g")))).collect()] == [True, False, False]
 
@@ -146,7 +152,70 @@ def test_verdicts_and_tampering(spark):
     broken = assets.withColumn("payload", F.concat("payload", F.lit("!")))
     assert provenance.verify(broken, key).where("valid").count() == 0
     twice = spark.createDataFrame([(1,), (1,)], "x int")
-    assert provenance.digest(twice).first().digest != 0
+    once = spark.createDataFrame([(1,)], "x int")
+    assert provenance.digest(twice).first().digest != provenance.digest(once).first().digest
+    left, right = (spark.createDataFrame([r], "a string, b string") for r in ((None, "v"), ("v", None)))
+    assert provenance.digest(left).first().digest != provenance.digest(right).first().digest
+
+
+@pytest.mark.parametrize("key", [b"", b"k", b"x" * 64, b"y" * 200])
+def test_signatures_are_hmac(spark, key):
+    import hashlib
+    import hmac
+
+    texts = ["", "payload", "é" * 100, None]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(provenance.sign(F.col("t"), key).alias("s")).collect()]
+    assert got == [None if t is None else hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in texts]
+
+
+def test_numbers_are_read_as_written(spark):
+    rows = spark.createDataFrame([("12f",), ("7d",), (" 1.5 ",), ("-2e3",), ("nan",)], "t string")
+    assert [r[0] for r in rows.select(X.coerce(F.col("t"), "double")).collect()] == [None, None, 1.5, -2000.0, None]
+    got = profile.counts(rows).first()
+    assert got.numbers == 2 and got.distinct_count == 4
+
+
+def test_index_is_dense_over_few_partitions(spark):
+    rows = spark.range(50_000).select((F.col("id") * 7919 % 50_021).alias("k"))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for _ in range(3):
+            got = export.numbered(rows, ["k"], "i").agg(F.count_distinct("i"), F.min("i"), F.max("i")).first()
+            assert tuple(got) == (50_000, 0, 49_999)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_rules_that_raise_fail_alone(spark):
+    df = spark.createDataFrame([(1, "a")], "x int, y string")
+    rules = [quality.Rule("r", "range", "x", {"min": 0}), quality.Rule("e", "enum", "y", {}), quality.Rule("c", "custom", "x", {"violations": F.sum("nowhere")})]
+    assert {r.rule_id: r.passed for r in quality.evaluate(df, rules).collect()} == {"r": True, "e": False, "c": False}
+
+
+def test_noise_is_on_all_numbers_and_fresh(spark):
+    df = spark.createDataFrame([("a", 10, 2.0)], "g string, n int, x double")
+    sql = "SELECT g, n, x FROM {t}"
+    draws = {tuple(governed.run(spark, sql, {"t": df}, governed.Grant(epsilon=0.1)).first()) for _ in range(3)}
+    assert len(draws) == 3 and all(d[2] != 2.0 for d in draws)
+    with pytest.raises(PermissionError):
+        governed.run(spark, "SELECT g FROM {t}", {"t": df}, governed.Grant(epsilon=0.1))
+
+
+def test_governed_query_spends_logs_and_refuses(spark, tmp_path):
+    people = spark.createDataFrame([(i, f"p{i}", i % 2) for i in range(10)], "id int, name string, g int")
+    datasets = spark.createDataFrame([("people", "hr", "people", "boss", "EU", "EU", False, ["name"], True)], "dataset string, domain string, name string, owner string, code string, place string, residency_required boolean, pii_fields array<string>, sensitive boolean")
+    policies = spark.createDataFrame([], "id string, position int, domain string, datasets array<string>, actions array<string>, roles array<string>, effect string, obligations array<string>")
+    ask = lambda sql, who="ann", action="query": governed.query(spark, who, ["reader"], "EU", sql, {"people": people}, datasets, policies, str(tmp_path), action=action, budget=0.25)
+    count = "SELECT g, count(*) AS n FROM {people} GROUP BY g"
+    assert ask(count).count() == 2 and ask(count).count() == 2
+    for sql, action in ((count, "query"), ("SELECT name FROM {people}", "query"), (count, "read")):
+        with pytest.raises(PermissionError):
+            ask(sql, action=action)
+    assert ask(count, who="bob").count() == 2
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert {(r.subject, r.status): r.n for r in log.groupBy("subject", "status").agg(F.count(F.lit(1)).alias("n")).collect()} == {("ann", "ok"): 2, ("ann", "denied"): 3, ("bob", "ok"): 1}
+    spent = {r.subject: r.spent for r in privacy.budgets(spark.read.parquet(f"{tmp_path}/ledger"), 0.25).collect()}
+    assert spent == {"ann": pytest.approx(0.2), "bob": pytest.approx(0.1)}
 
 
 def test_forecasts_of_one_value(spark):
