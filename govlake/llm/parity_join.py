@@ -94,7 +94,7 @@ class Bands:
             word = word[order]
             at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             used, parity = word[at].astype(np.int64), np.bitwise_xor.reduceat(tokens[order], at)
-            need = max(1, agree - (m - len(used)))  # the others that agree may be empty words
+            need = min(MOST_NEED, max(1, agree - (m - len(used))))  # the others that agree may be empty words
             if m - len(used) >= agree:  # even all of them
                 empty = np.setdiff1d(np.arange(m), used)
                 used, parity = np.r_[used, empty], np.r_[parity, np.zeros(len(empty), np.uint64)]
@@ -103,14 +103,16 @@ class Bands:
         return np.concatenate(out), np.concatenate(tags)
 
 
-SENT = "bucket int, keys array<int>, ids array<long>, tags array<int>, held array<int>, kind array<int>, a array<long>, b array<long>, c array<int>"
-SENT_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), ("held", pa.list_(pa.int32())), ("kind", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("c", pa.list_(pa.int32()))])
+SENT = "bucket int, keys array<int>, ids array<long>, tags array<short>, held array<short>, kind array<int>, a array<long>, b array<long>, c array<int>"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int16())), ("held", pa.list_(pa.int16())), ("kind", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("c", pa.list_(pa.int32()))])
 FACT = "kind int, a long, b long, c int, d int"
 FACT_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("d", pa.int32())])
 #: Kinds of facts: key, id, tag, holders; key, id, tag of a batch's other documents; key and holders for these; an equal pair; id (or null) and size of a set.
 MEMBER, OTHER, KEY, EQUAL, SIZE = range(5)
 #: The tag of the key that stands for a whole set: it is never left out.
 WHOLE = 2
+#: Asking for less is always right; tags stay within 16 bits. Ids up to so many (16 MB) are broadcast, more are joined by a shuffle.
+MOST_NEED, BROADCAST_IDS = 8_000, 1_000_000
 
 
 def _fact(kind: int, a, b, c=None) -> tuple[np.ndarray, ...]:
@@ -183,14 +185,14 @@ def _send(bands: Bands, words: int, buckets: int):
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Members of the bucket's keys that several documents hold, with the number of holders; facts that batches found pass through."""
-    keys, ids, tags, held = (_values(table.column(c), d)[0] for c, d in (("keys", np.int32), ("ids", np.int64), ("tags", np.int32), ("held", np.int32)))
+    keys, ids, tags, held = (_values(table.column(c), d)[0] for c, d in (("keys", np.int32), ("ids", np.int64), ("tags", np.int16), ("held", np.int16)))
     order, begins, sizes = _groups(keys.view(np.uint32), ids)
     holders = np.add.reduceat(held[order].astype(np.int64), begins) if len(begins) else begins
     most = np.maximum.reduceat(held[order], begins) if len(begins) else begins
     names = (keys.view(np.uint32)[order].astype(np.uint64) | (U64(key[0].as_py()) << U64(32))).view(np.int64)
     shared = np.repeat(holders > 1, sizes)
     inside = begins[most > 1]
-    member, others = _fact(MEMBER, names[shared], ids[order][shared], tags[order][shared]), _fact(KEY, names[inside], np.zeros(len(inside)))
+    member, others = _fact(MEMBER, names[shared], ids[order][shared], tags[order][shared].astype(np.int32)), _fact(KEY, names[inside], np.zeros(len(inside)))
     own = pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(member, others, strict=True)] + [pa.array(np.r_[np.repeat(holders, sizes)[shared], holders[most > 1]].astype(np.int32))], schema=FACT_ARROW)
     known = [table.column(n).combine_chunks().flatten() for n in ("kind", "a", "b", "c")]
     return pa.concat_tables([own, pa.Table.from_arrays([*known, pa.nulls(len(known[0]), pa.int32())], schema=FACT_ARROW)])
@@ -398,8 +400,8 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
             sketches = [parity(s, _width(len(s))).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "sketch", "tokens"])
 
-    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
-    sets = write_shared(rows.join(ends, "id", "left_semi").mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
+    ends = write_shared(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), "ends")
+    sets = write_shared(rows.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "id", "left_semi").mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
     equal = facts.where(F.col("kind") == EQUAL).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(verified(pairs, sets, similarity).unionByName(equal))
     # keys whose documents are not yet in one component; of keys with the same documents one
@@ -413,6 +415,10 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
         "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sketch"
     )
     near = write_shared(_dealt(tiles).mapInArrow(_near_tiles(similarity), NEAR), "near")
+    # of groups with the same documents left one
+    last = near.groupBy("key", "p", "q").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too"))
+    last = last.groupBy("size", "who", "too", (F.col("p") == F.col("q")).alias("whole")).agg(F.min(F.struct("key", "p", "q")).alias("g")).select("g.*")
+    near = near.join(last, ["key", "p", "q"], "left_semi")
     more = connected_components(_dealt(near.join(sets, "id")).mapInArrow(_verified_tiles(similarity), "src long, dst long"))
     sizes = facts.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
     out = sizes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
