@@ -3,13 +3,14 @@
 Each pass has its own random hyperplanes; the signs of a vector's projections, concatenated, are its hash. A pass
 orders the vectors of each label lexicographically by that hash (a range partitioning and a sort, so no label
 has to fit a task), compares each vector with its neighbours in a bounded window by cosine in double precision, and
-unions the pairs that reach the threshold. The unions of all passes give the components. A pair is missed only if
-every pass puts more than a window between the two; `tests/llm` measures the share found against brute force.
+unions the pairs that reach the threshold. The unions of all passes give the components. A pass misses a pair if it puts
+more than a window, or a border of the range partitioning, between the two; a pair is lost if all passes miss it and nothing
+else connects the two. `tests/llm` measures the share found against brute force.
 
 A window holds few of the links of a vector amid thousands of near copies, so links are counted afterwards, exactly,
 for the members of each component of three vectors or more: they are cut into tiles of `TILE`, and each pair of tiles
-gives one number a vector. No pair is emitted. Work grows with the square of a component's size, as the count of links
-asks, memory doesn't.
+gives one number a vector. No pair is emitted. Work, and the vectors shuffled (size / TILE times each), grow with the
+square of a component's size, as the count of links asks; the memory of a task doesn't.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite values, and rows with a null label, link with
 nothing and are their own component. Vectors of other lengths than their neighbours' link with nothing of another
@@ -39,13 +40,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # so that no square is too small or too large
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def usable(vector: str = "embedding"):
-    """Whether a vector can link: not null or empty, all finite, not all zero. The sum of squares is finite and above zero."""
-    squares = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
-    return F.coalesce((squares > 0) & (squares < float("inf")) & ~F.isnan(squares), F.lit(False))
+    """Whether a vector can link: not null or empty, all finite, not all zero."""
+    v = F.col(vector)
+    finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))  # NaN counts as larger than any
+    return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def hashes(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
@@ -65,7 +68,7 @@ def hashes(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, turns.size + 1, passes), pa.int32()), pa.array(turns.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=["id", "label", "vector", "turns"])
 
-    return vectors.mapInArrow(run, f"id long, label {dict(vectors.dtypes)['label']}, vector array<float>, turns array<long>")
+    return vectors.mapInArrow(run, f"id long, label {dict(vectors.dtypes)['label']}, vector {dict(vectors.dtypes)['vector']}, turns array<long>")
 
 
 def _neighbours(threshold: float):
@@ -127,7 +130,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row: links within its label, least id reachable, whether that is its own."""
     n = parts(table.sparkSession)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<float>").alias("vector"))
+    kept_as = "array<float>" if dict(table.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = table.select(integer_id(table, id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast(kept_as).alias("vector"))
     good = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vector")).groupBy("id").agg(F.min(F.struct("label", "vector")).alias("x")).select("id", "x.label", "x.vector")
     good = write_shared(hashes(good, passes, seed), "hashed")
     turns = good.select("label", "id", "vector", F.posexplode("turns").alias("turn", "hash"))

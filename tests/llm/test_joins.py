@@ -111,6 +111,15 @@ def test_embeddings_against_plain_version(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_double_precision_at_the_threshold_and_at_the_ends(spark):
+    below = [0.9799999996, float(np.sqrt(1 - 0.9799999996**2))]
+    above = [0.9800000004, float(np.sqrt(1 - 0.9800000004**2))]
+    rows = [(1, [1.0, 0.0], 0), (2, below, 0), (3, [1.0, 0.0], 1), (4, above, 1), (5, [1e-60, 0.0], 2), (6, [1e-60, 0.0], 2), (7, [1e200, 1.0], 3), (8, [1e200, 1.0], 3), (9, [1e-320, 1e-320], 4), (10, [1.0, 1.0], 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7), 9: (1, 9), 10: (1, 9)}
+
+
 def test_tiles_of_a_component_larger_than_one(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 50)
     x = vectors()
