@@ -5,7 +5,7 @@ separator counts, and statistics of the host's last label and last two labels (t
 log of how many there are). The labelled urls are the ones that the rules decide, unless others are given.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, meets no rule and is judged by the
-trees as the empty url. Rows that repeat are judged alike. Without labelled urls of both verdicts there are no
+trees as the empty url. Rows that repeat are judged alike. An empty table gives no rows; urls of any length are read whole. Without labelled urls of both verdicts there are no
 trees: all that no rule decides gets the one verdict seen, or allow. Other columns are never read.
 """
 
@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS_LOW, LETTERS_UP
+from .common import LETTERS_LOW, LETTERS_UP, write_shared
 
 #: Characters whose counts make the entropy; all others count as one kind.
 ALPHABET = LETTERS_LOW + "0123456789-._~/?=&%:#+"
@@ -65,7 +65,7 @@ def _lexical(rows: DataFrame) -> DataFrame:
         F.regexp_count("host", F.lit("[^.]+")).cast("double").alias("labels"),
         (counts[0] / n).alias("digits"),
         reduce(lambda a, b: a + b, entropy).alias("entropy"),
-        F.when(F.contains("low", F.lit("?")), F.regexp_count(F.substring_index("low", "?", -1), F.lit("[^&#]+"))).otherwise(0).cast("double").alias("params"),
+        F.when(F.contains("low", F.lit("?")), F.regexp_count(F.regexp_extract("low", r"(?s)^[^?]*\?([^#]*)", 1), F.lit("[^&]+"))).otherwise(0).cast("double").alias("params"),
         F.regexp_count("low", F.lit("[-_.%=]")).cast("double").alias("separators"),
         F.substring_index("host", ".", -1).alias("last"), F.substring_index("host", ".", -2).alias("two"),
     ).drop("low")
@@ -80,8 +80,9 @@ def judge(
     labelled: (url, verdict) rows to learn from; the urls that rules decide if None. The trees are fitted on about
     sample_rows of them, chosen by the hash of the url; the statistics of suffixes come from all of them.
     """
-    host, path = split_url(url)
-    rows = urls.select(F.col(id_col), F.col(url).alias("url")).select(id_col, "url", host.alias("host"), path.alias("path")).withColumn("hit", match_rules(rules))
+    host, path = split_url("url")
+    rows = urls.select(F.col(id_col).alias("id"), F.col(url).alias("url")).select("id", "url", host.alias("host"), path.alias("path")).withColumn("hit", match_rules(rules))
+    rows = write_shared(rows, "urls")  # each url is parsed and matched once; all that follows reads this
     if labelled is None:
         known = rows.where("hit IS NOT NULL").select("url", "host", "path", F.col("hit.verdict").alias("verdict"))
     else:
@@ -90,24 +91,26 @@ def judge(
     total, blocked = known.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not total or not 0 < blocked < total:
         only = F.lit("block" if total and blocked else "allow")
-        return rows.select(id_col, "host", "path", "hit.rule", F.coalesce("hit.verdict", only).alias("verdict"), F.when(F.col("hit").isNull(), "default").otherwise("rule").alias("method"))
+        return rows.select(F.col("id").alias(id_col), "host", "path", "hit.rule", F.coalesce("hit.verdict", only).alias("verdict"), F.when(F.col("hit").isNull(), "default").otherwise("rule").alias("method"))
     base = blocked / total
 
+    stats = {}
+    for name, k in (("last", -1), ("two", -2)):
+        sums = known.groupBy(F.substring_index("host", ".", k).alias(name)).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
+        stats[name] = write_shared(sums.select(name, ((F.col("b") + prior * base) / (F.col("n") + prior)).alias(f"{name}_rate"), F.log1p("n").alias(f"{name}_n")), "suffixes")
+
     def with_suffixes(df: DataFrame) -> DataFrame:
-        for name in ("last", "two"):
-            suffix = F.substring_index("host", ".", -1 if name == "last" else -2)
-            stats = known.groupBy(suffix.alias(name)).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")).select(
-                name, ((F.col("b") + prior * base) / (F.col("n") + prior)).alias(f"{name}_rate"), F.log1p("n").alias(f"{name}_n")
-            )
-            df = df.join(stats, name, "left").na.fill({f"{name}_rate": base, f"{name}_n": 0.0})
+        for name, found in stats.items():
+            df = df.join(found, name, "left").na.fill({f"{name}_rate": base, f"{name}_n": 0.0})
         return df
 
     assemble = VectorAssembler(inputCols=NUMBERS, outputCol="features")
     drawn = known.where(F.pmod(F.xxhash64("url", F.lit(5)), F.lit(1 << 30)) < math.ceil(min(1.0, sample_rows / total) * (1 << 30)))
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, labelCol="label").fit(assemble.transform(with_suffixes(_lexical(drawn))).select("features", "label"))
+    features = write_shared(with_suffixes(_lexical(drawn)).select(*NUMBERS, "label"), "features")
+    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, labelCol="label").fit(assemble.transform(features).select("features", "label"))
     judged = fitted.transform(assemble.transform(with_suffixes(_lexical(rows))))
     return judged.select(
-        id_col, "host", "path", "hit.rule",
+        F.col("id").alias(id_col), "host", "path", "hit.rule",
         F.coalesce("hit.verdict", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")).alias("verdict"),
         F.when(F.col("hit").isNull(), "trees").otherwise("rule").alias("method"),
     )

@@ -59,6 +59,12 @@ def test_trees_learn_from_given_labels(spark):
     assert sum(got[i] == v for i, (_, v) in enumerate(rest)) >= 0.95 * len(rest)
 
 
+def test_names_of_derived_columns_may_be_taken(spark):
+    pages = spark.createDataFrame([(i, f"https://a{i}.example.com/{'en' if i % 2 else 'de'}/{i}", "x", "y") for i in range(20)] + [(7, "https://a.net/de/8", "x", "y")], "url long, page string, hit string, features string")
+    got = url_filter.judge(pages, queries.URL_RULES, id_col="url", url="page", trees=2)
+    assert got.columns[0] == "url" and got.count() == 21
+
+
 def test_no_labels_allow_all_and_too_many_rules(spark):
     pages = spark.createDataFrame([(1, "https://x.com/")], "page_id long, url string")
     assert url_filter.judge(pages, []).first().verdict == "allow"
