@@ -17,8 +17,9 @@ put into its own and the next, so partners of any size meet.
    one-bit parity sketches, a lower bound of the symmetric difference, then by the intersection of the sets. Verified pairs
    and equal sets give components.
 4. Where a key's documents still lie in several components, any two of them might link. Of keys with the same documents one
-   is taken; its documents are compared in tiles of TILE, each pair of tiles in its own task, by Hamming bound. Documents
-   with a possible partner in another component fetch their sets; only verified pairs that join components come out.
+   is taken; its documents are compared in tiles of TILE, each pair of tiles in its own task, by Hamming bound. Where the
+   possible pairs across components are few, distinct ones are verified as in step 3; where they are more than PAIRS_EACH a
+   document, its documents fetch their sets into the tiles, and only verified pairs that join components come out.
 
 Nothing is capped, and components are exact. Step 4 is quadratic in the number of documents that share a key which step 2
 leaves and yet lie in several components.
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 from .common import Unions, connected_components, integer_id, parts, write_shared
 from .passages import BASES, U64, _values, grams, mixed, split, table_of, word_symbols
 
-#: Documents of a tile; least and most 64-bit words of a one-bit parity sketch.
-TILE, LEAST_SKETCH, MOST_SKETCH = 1024, 16, 1024
+#: Pairs for each document of two tiles that are named one by one; documents of a tile; least and most 64-bit words of a one-bit parity sketch.
+PAIRS_EACH, TILE, LEAST_SKETCH, MOST_SKETCH = 4, 1024, 16, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -336,20 +337,34 @@ def _across(table: pa.Table, similarity: int) -> Iterator[tuple[int, np.ndarray]
             yield i, others
 
 
-NEAR = "key long, p int, q int, side int, id long, component long"
+NEAR = "key long, p int, q int, side int, id long, component long, other long, other_component long"
 
 
 def _near_tiles(similarity: int):
-    """The documents of two tiles of a key that have a possible partner: no more rows than there are documents."""
+    """Of two tiles of a key the possible pairs (id, other) with their components, if they are at most PAIRS_EACH for each document;
+    else the documents that have a possible partner. So rows grow with the documents, whatever the number of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches):
-            near = np.zeros(table.num_rows, bool)
+            near, found, many = np.zeros(table.num_rows, bool), [], 0
             for i, others in _across(table, similarity):
                 near[i] = True
                 near[others] = True
-            if near.any():
-                yield from table.select(["key", "p", "q", "side", "id", "component"]).filter(pa.array(near)).to_batches()
+                many += len(others)
+                if many <= PAIRS_EACH * table.num_rows:
+                    found += [(i, j) for j in others.tolist()]
+            if not near.any():
+                continue
+            ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+            if many <= PAIRS_EACH * table.num_rows:
+                a, b = np.array(found).T
+                a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+                none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+                rows = [*none, *(pa.array(x) for x in (ids[a], component[a], ids[b], component[b]))]
+            else:
+                these = table.select(["key", "p", "q", "side", "id", "component"]).filter(pa.array(near)).combine_chunks()
+                rows = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in these.columns] + [pa.nulls(these.num_rows, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays(rows, names=["key", "p", "q", "side", "id", "component", "other", "other_component"])
 
     return run
 
@@ -415,11 +430,13 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
         "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sketch"
     )
     near = write_shared(_dealt(tiles).mapInArrow(_near_tiles(similarity), NEAR), "near")
+    near, few = near.where("other IS NULL").drop("other", "other_component"), near.where("other IS NOT NULL").select(F.col("id").alias("src"), F.col("other").alias("dst"), "component", "other_component").distinct()
+    good = verified(few.select("src", "dst").distinct(), sets, similarity).join(few, ["src", "dst"]).select(F.col("component").alias("src"), F.col("other_component").alias("dst"))
     # of groups with the same documents left one
     last = near.groupBy("key", "p", "q").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too"))
     last = last.groupBy("size", "who", "too", (F.col("p") == F.col("q")).alias("whole")).agg(F.min(F.struct("key", "p", "q")).alias("g")).select("g.*")
     near = near.join(last, ["key", "p", "q"], "left_semi")
-    more = connected_components(_dealt(near.join(sets, "id")).mapInArrow(_verified_tiles(similarity), "src long, dst long"))
+    more = connected_components(_dealt(near.join(sets, "id")).mapInArrow(_verified_tiles(similarity), "src long, dst long").unionByName(good))
     sizes = facts.where(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
     out = sizes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     out = out.join(more.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")

@@ -22,8 +22,10 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("words,similarity", [(4, 85), (5, 80)])
-def test_components_against_plain_version(spark, words, similarity):
+@pytest.mark.parametrize("words,similarity,each", [(4, 85, 4), (5, 80, 0)])
+def test_components_against_plain_version(spark, monkeypatch, words, similarity, each):
+    monkeypatch.setattr(parity_join, "PAIRS_EACH", each)
+    monkeypatch.setattr(parity_join, "TILE", 30 if each else 1024)
     rows = made(words)
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component string").repartition(5)
     assert sorted([tuple(r) for r in parity_join.components(docs, words, similarity).collect()], key=repr) == brute.jaccard_components(rows, words, similarity)
