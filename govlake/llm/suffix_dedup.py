@@ -8,9 +8,7 @@ levels of like size are merged, so a family holds about log2 of the number of ba
 least id that has it.
 
 Levels lie in buckets, where all equal strings of the corpus meet; a family over a whole corpus is as many families as
-there are buckets, each of bounded size. `digests` runs all batches of one table and needs the family no longer than that.
-`Index` keeps it: each `add` takes a new batch of documents, scans it against the stored levels and stores what changed in
-the shared folder, as Parquet.
+there are buckets, each of bounded size, and lives as long as the task of its bucket.
 
 Defined cases: a null text is empty; texts under `size` bytes lose nothing; strings that repeat within one document
 only do not count; null ids, repeated ids, very long texts and empty tables as passages.py says.
