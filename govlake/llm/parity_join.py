@@ -431,7 +431,20 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
     )
     near = write_shared(_dealt(tiles).mapInArrow(_near_tiles(similarity), NEAR), "near")
     near, few = near.where("other IS NULL").drop("other", "other_component"), near.where("other IS NOT NULL").select(F.col("id").alias("src"), F.col("other").alias("dst"), "component", "other_component").distinct()
-    good = verified(few.select("src", "dst").distinct(), sets, similarity).join(few, ["src", "dst"]).select(F.col("component").alias("src"), F.col("other_component").alias("dst"))
+    few = write_shared(few, "few")
+    # one pair of each two components first; the others only of components that these left apart
+    tried = few.groupBy("component", "other_component").agg(F.min(F.struct("src", "dst")).alias("x")).select("component", "other_component", "x.src", "x.dst")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        good = verified(pairs.select("src", "dst").distinct(), sets, similarity)
+        return write_shared(good.join(pairs, ["src", "dst"]).select(F.col("component").alias("src"), F.col("other_component").alias("dst")), "joined")
+
+    good = joined(tried)
+    whole = connected_components(good)
+    for c in ("component", "other_component"):
+        few = few.join(whole.select(F.col("node").alias(c), F.col("component").alias(f"{c}_now")), c, "left").withColumn(f"{c}_now", F.coalesce(f"{c}_now", c))
+    apart = few.where("component_now <> other_component_now").drop("component_now", "other_component_now").join(tried.select("src", "dst"), ["src", "dst"], "left_anti")
+    good = good.unionByName(joined(apart))
     # of groups with the same documents left one
     last = near.groupBy("key", "p", "q").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too"))
     last = last.groupBy("size", "who", "too", (F.col("p") == F.col("q")).alias("whole")).agg(F.min(F.struct("key", "p", "q")).alias("g")).select("g.*")
