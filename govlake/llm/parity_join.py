@@ -282,12 +282,27 @@ def _verify(similarity: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The similar ones of distinct pairs(src, dst). Only pairs that pass the Hamming bound fetch the sets."""
+def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is one of the written ids. Up to BROADCAST_IDS of them the rows aren't shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return write_shared(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), "ends")
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs that pass the Hamming bound; no set is fetched for it."""
     one, two = (sets.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in ("src", "dst"))
     near = pairs.join(one, "src").join(two, "dst").select("src", "dst", "src_n", "dst_n", "src_sketch", "dst_sketch").mapInArrow(_near(similarity), "src long, dst long")
-    x, y = (sets.select(F.col("id").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in ("src", "dst"))
-    return near.join(x, "src").join(y, "dst").select("src", "dst", "src_tokens", "dst_tokens").mapInArrow(_verify(similarity), "src long, dst long")
+    return write_shared(near, "near_pairs")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The similar ones of distinct, written pairs(src, dst). Only the sets of their documents are shuffled."""
+    held = _having(sets.select("id", "tokens"), _ends(pairs))
+    x, y = (held.select(F.col("id").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in ("src", "dst"))
+    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "src_tokens", "dst_tokens").mapInArrow(_verify(similarity), "src long, dst long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -415,10 +430,9 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
             sketches = [parity(s, _width(len(s))).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "sketch", "tokens"])
 
-    ends = write_shared(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), "ends")
-    sets = write_shared(rows.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "id", "left_semi").mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
+    sets = write_shared(_having(rows, _ends(pairs)).mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
     equal = facts.where(F.col("kind") == EQUAL).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = connected_components(verified(pairs, sets, similarity).unionByName(equal))
+    found = connected_components(verified(near_pairs(pairs, sets, similarity), sets, similarity).unionByName(equal))
     # keys whose documents are not yet in one component; of keys with the same documents one
     placed = kept.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
     sums = placed.groupBy("key").agg(
@@ -436,7 +450,8 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
     tried = few.groupBy("component", "other_component").agg(F.min(F.struct("src", "dst")).alias("x")).select("component", "other_component", "x.src", "x.dst")
 
     def joined(pairs: DataFrame) -> DataFrame:
-        good = verified(pairs.select("src", "dst").distinct(), sets, similarity)
+        pairs = write_shared(pairs, "tried")
+        good = verified(write_shared(pairs.select("src", "dst").distinct(), "tried_pairs"), sets, similarity)  # these have passed the Hamming bound
         return write_shared(good.join(pairs, ["src", "dst"]).select(F.col("component").alias("src"), F.col("other_component").alias("dst")), "joined")
 
     good = joined(tried)
