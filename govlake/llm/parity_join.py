@@ -18,7 +18,7 @@ put into its own and the next, so partners of any size meet.
    and equal sets give components.
 4. Where a key's documents still lie in several components, any two of them might link. Of keys with the same documents one
    is taken; its documents are compared in tiles of TILE, each pair of tiles in its own task, by Hamming bound. Where the
-   possible pairs across components are few, distinct ones are verified as in step 3; where they are more than PAIRS_EACH a
+   possible pairs across components are few, distinct ones are verified by their sets; where they are more than PAIRS_EACH a
    document, its documents fetch their sets into the tiles, and only verified pairs that join components come out.
 
 Nothing is capped, and components are exact. Step 4 is quadratic in the number of documents that share a key which step 2
