@@ -287,22 +287,32 @@ def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return write_shared(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), "ends")
+def _ends(pairs: DataFrame, *sides: str) -> DataFrame:
+    """The distinct ids at these sides of the pairs, written."""
+    ids = pairs.select(F.explode(F.array(*sides)).alias("id"))
+    return write_shared(ids.distinct(), "ends")
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs(src, dst) with these columns of both documents, as src_... and dst_...
+
+    Pairs are stars around their least ids, so few documents are a src and many a dst: those of dst come first and go to
+    src once, and a src sends its own once, not once for each of its pairs. A src has at most the pairs of a chunk or one for each chunk; AQE splits larger ones.
+    """
+    def end(side: str) -> DataFrame:
+        return _having(sets.select("id", *columns), _ends(pairs, side)).select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+
+    return pairs.join(end("dst"), "dst").join(end("src"), "src").select("src", "dst", *(f"{side}_{c}" for c in columns for side in ("src", "dst")))
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs that pass the Hamming bound; no set is fetched for it."""
-    one, two = (sets.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in ("src", "dst"))
-    near = pairs.join(one, "src").join(two, "dst").select("src", "dst", "src_n", "dst_n", "src_sketch", "dst_sketch").mapInArrow(_near(similarity), "src long, dst long")
-    return write_shared(near, "near_pairs")
+    return write_shared(_beside(pairs, sets, ["n", "sketch"]).mapInArrow(_near(similarity), "src long, dst long"), "near_pairs")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The similar ones of distinct, written pairs(src, dst). Only the sets of their documents are shuffled."""
-    held = _having(sets.select("id", "tokens"), _ends(pairs))
-    x, y = (held.select(F.col("id").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in ("src", "dst"))
-    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "src_tokens", "dst_tokens").mapInArrow(_verify(similarity), "src long, dst long")
+    return _beside(pairs, sets, ["tokens"]).mapInArrow(_verify(similarity), "src long, dst long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -430,7 +440,7 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
             sketches = [parity(s, _width(len(s))).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "sketch", "tokens"])
 
-    sets = write_shared(_having(rows, _ends(pairs)).mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
+    sets = write_shared(_having(rows, _ends(pairs, "src", "dst")).mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
     equal = facts.where(F.col("kind") == EQUAL).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(verified(near_pairs(pairs, sets, similarity), sets, similarity).unionByName(equal))
     # keys whose documents are not yet in one component; of keys with the same documents one
