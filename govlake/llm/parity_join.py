@@ -44,7 +44,7 @@ from .common import Unions, connected_components, integer_id, parts, write_share
 from .passages import BASES, U64, _values, grams, mixed, split, table_of, word_symbols
 
 #: Pairs for each document of two tiles that are named one by one; documents of a tile; least and most 64-bit words of a one-bit parity sketch.
-PAIRS_EACH, TILE, LEAST_SKETCH, MOST_SKETCH = 4, 1024, 16, 1024
+PAIRS_EACH, TILE, LEAST_SKETCH, MOST_SKETCH = 4, 1024, 8, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -252,8 +252,11 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def _width(size: int) -> int:
-    """Sketch words for a set: four bits a shingle or more, a power of two, so that like sizes have like widths."""
-    return int(min(MOST_SKETCH, max(LEAST_SKETCH, 1 << max(0, size * 4 // 64).bit_length())))
+    """Sketch words for a set: two bits a shingle or more, a power of two, so that like sizes have like widths.
+
+    Where differing shingles meet in a bit they cancel: fewer bits only let more pairs through to be verified.
+    """
+    return int(min(MOST_SKETCH, max(LEAST_SKETCH, 1 << max(0, size * 2 // 64).bit_length())))
 
 
 def _near(similarity: int):
