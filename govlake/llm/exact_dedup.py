@@ -5,7 +5,8 @@ only chooses the partition. A group of copies that holds a third of all rows lea
 after the map-side combine of the first stage, and at most `salts` rows before the last.
 
 Defined cases: an empty table gives no rows; texts of any length are compared whole; a null text counts as empty. A null id loses to any other id; a group with null ids only has
-the null keep_id. Of rows that repeat the kept id and its text, one is kept. Other columns are never read.
+the null keep_id. Of rows that repeat the kept id and its text, one is kept. `decisions` reads no other columns; `dedup` carries
+them along.
 """
 
 from __future__ import annotations
