@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, mixing, parity_join, substring_rlz, suffix_dedup, toxicity, url_filter
-from .common import held_out
+from . import bpe, embedding_dedup, exact_dedup, language_id, merkle, mixing, parity_join, spelling, substring_rlz, suffix_dedup, topk_search, toxicity, url_filter
+from .common import LETTERS_LOW, LETTERS_UP, held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,6 +159,95 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes: for each byte eight steps of the polynomial."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(0, length({digits}) // 2), lambda i: CAST('0x' || substr({digits}, 2 * i + 1, 2) AS BIGINT))"
+    one = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce({octets}, lambda c, x: {one}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+#: One run in 199 of op11 loses a letter.
+SLIP_EVERY = 199
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(_table(spark, sf_dir, "documents"))
+    words = spelling.counted(runs.select(spelling.slipped(F.col("run"), F.col("id"), SLIP_EVERY).alias("word")))
+    return spelling.variants(words)
+
+
+#: The edit distance of DuckDB is one of bytes: letters of two bytes become capitals and signs that no word has.
+_ONE_BYTE = "".join(map(chr, range(0xC0, 0x100))), (LETTERS_UP + "0123456789!#$%&()*+,-./:;<=>?@[]^_`{|}~")[:64]
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{LETTERS_UP}', '{LETTERS_LOW}'), '{spelling.RUN}')) AS run FROM documents),
+c AS (SELECT id, run, count(*) AS c FROM runs GROUP BY ALL),
+h AS (SELECT run, c, {_crc32_sql("id || ':' || run")} AS h FROM c),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % {SLIP_EVERY} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+v AS (SELECT DISTINCT word, n, unnest(list_concat([word], list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)))) AS v FROM w),
+p AS (SELECT DISTINCT a.word AS a, a.n AS n, b.word AS b, b.n AS m FROM v a JOIN v b ON a.v = b.v AND a.word <> b.word
+      WHERE levenshtein(translate(a.word, '{_ONE_BYTE[0]}', '{_ONE_BYTE[1]}'), translate(b.word, '{_ONE_BYTE[0]}', '{_ONE_BYTE[1]}')) = 1),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY m DESC, b) AS b, max(m) AS m, first(n) AS n FROM p GROUP BY a),
+f AS MATERIALIZED (SELECT word, CASE WHEN m >= 5 * best.n THEN b END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * best.n THEN m END AS form_n FROM w LEFT JOIN best ON a = word),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word JOIN f AS e ON e.word = r.root WHERE e.form IS NULL
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    altered = F.translate("text", LETTERS_UP, LETTERS_LOW)
+    tampered = merkle.leaf([altered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    manifest = merkle.build(docs, carried={"tampered": F.when(hit & (F.col("text") != altered), F.unhex(tampered))})
+    proofs = merkle.proofs(manifest, ["tampered"])
+    shown = F.coalesce(F.lower(F.hex("tampered")), "leaf")
+    out = proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(shown, F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(levels: int = 8, over: int = 3) -> str:
+    """Trees of up to 8 ** levels leaves and 8 ** over groups, level by level: runs are joined strings, which the node's place cuts."""
+    shown = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(shown(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+    low = f"translate(text, '{LETTERS_UP}', '{LETTERS_LOW}')"
+    steps = [
+        f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS shown FROM documents)",
+        "o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        "t0 AS (SELECT lang, i, leaf AS h, n FROM o)",
+    ]
+
+    def climb(t: str, key: str, depth: int) -> None:
+        for k in range(depth):
+            steps.append(f"{t}r{k} AS MATERIALIZED (SELECT {key}, i // 8 AS run, string_agg(h, '' ORDER BY i) AS s, any_value(n) AS n FROM {t}{k} GROUP BY {key}, i // 8)")
+            steps.append(f"{t}{k + 1} AS MATERIALIZED (SELECT {key}, run AS i, CASE WHEN n > 1 THEN sha256(s) ELSE s END AS h, (n + 7) // 8 AS n FROM {t}r{k})")
+
+    climb("t", "lang", levels)
+    steps.append(f"u0 AS MATERIALIZED (SELECT 0 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM t{levels})")
+    climb("u", "one", over)
+    steps.append(f"p0 AS (SELECT o.*, shown AS now_, '' AS proof, u0.h AS subroot, u0.i AS g, u{over}.h AS root FROM o JOIN u0 ON o.lang IS NOT DISTINCT FROM u0.lang, u{over})")
+    joins = [(f"tr{k}", "r.lang IS NOT DISTINCT FROM p.lang", f"p.i // {8**k}") for k in range(levels)] + [(f"ur{k}", "true", f"p.g // {8**k}") for k in range(over)]
+    for k, (runs, same, place) in enumerate(joins):
+        left, right = f"left(r.s, 64 * (({place}) % 8))", f"substr(r.s, 64 * (({place}) % 8) + 65)"
+        steps.append(
+            f"p{k + 1} AS (SELECT p.* REPLACE (CASE WHEN r.n > 1 THEN sha256({left} || now_ || {right}) ELSE now_ END AS now_, CASE WHEN r.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof) FROM p{k} p JOIN {runs} r ON {same} AND r.run = ({place}) // 8)"
+        )
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, now_ AS folded_root, now_ = root AS verified FROM p{len(joins)}"
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, row_number() OVER () AS r, CAST(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM k WHERE rank <= 10
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -170,6 +259,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_topk_search": op13_topk_search,
 }
 ORACLES = {
     "op2_embedding_dedup": OP2_SQL,
@@ -178,4 +270,7 @@ ORACLES = {
     "op7_parity_join": OP7_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_topk_search": OP13_SQL,
 }
