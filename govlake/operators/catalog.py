@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import keyed
 from .privacy import rank
 
+#: What a catalog record holds.
+RECORD = (
+    "id string, name string, domain string, title string, description string, tags array<string>, modality string, sensitivity string, signed boolean, location string, semantic_types int, "
+    "license string, provenance int, pii_fields int, row_count long, quality double, version int, version_at timestamp, seq long"
+)
+
+
+def registry(spark: SparkSession, path: str, buckets: int = 64) -> keyed.KeyedTable:
+    """The catalog as a keyed table by id: register by `upsert`, one dataset by `get`, all by `read`. The record of greatest seq counts."""
+    return keyed.create(spark, path, RECORD, ["id"], "seq", buckets)
+
 
 def latest(records: DataFrame) -> DataFrame:
     """The latest record of each id by version_at."""

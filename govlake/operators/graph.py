@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.shared import shared_dir
+from ..sources import keyed
+from ..sources.shared import shared_dir, write_shared
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,11 +24,53 @@ def token(c: Column) -> Column:
     return F.lower(X.strip(c))
 
 
-def alias_index(entities: DataFrame) -> DataFrame:
-    """(token, id) from entities(id, seq, label, aliases): the entity of least seq has a token."""
+def tokens(entities: DataFrame) -> DataFrame:
+    """(token, id, seq): what each of entities(id, seq, label, aliases) is called."""
     names = F.concat(F.array("id", "label"), F.coalesce("aliases", F.array().cast("array<string>")))
     each = entities.select("id", "seq", F.explode(F.array_distinct(F.transform(names, token))).alias("token"))
-    return each.where("token <> ''").groupBy("token").agg(F.min_by("id", F.struct("seq", "id")).alias("id"))
+    return each.where("token <> ''").select("token", "id", "seq")
+
+
+def alias_index(entities: DataFrame) -> DataFrame:
+    """(token, id) from entities(id, seq, label, aliases): the entity of least seq has a token."""
+    return tokens(entities).groupBy("token").agg(F.min_by("id", F.struct("seq", "id")).alias("id"))
+
+
+class Graph(NamedTuple):
+    """Stored entities and relations (the latest of a key counts) and the index of their names (a name is its first writer's for good)."""
+
+    entities: keyed.KeyedTable
+    aliases: keyed.KeyedTable
+    relations: keyed.KeyedTable
+
+
+ENTITY = "id string, type string, domain string, label string, aliases array<string>, properties map<string,string>, seq long"
+ALIAS = "token string, id string, seq long"
+RELATION = "src string, dst string, type string, properties string, seq long"
+
+
+def store(spark: SparkSession, path: str, buckets: int = 64) -> Graph:
+    """The graph below a folder, made if it isn't there."""
+    return Graph(
+        keyed.create(spark, f"{path}/entities", ENTITY, ["id"], buckets=buckets), keyed.create(spark, f"{path}/aliases", ALIAS, ["token"], buckets=buckets, keep="first"),
+        keyed.create(spark, f"{path}/relations", RELATION, ["src", "dst", "type"], buckets=buckets),
+    )
+
+
+def upsert_entities(graph: Graph, batch: DataFrame) -> None:
+    """Entities by id, and their names into the index: all names of the batch, also of rows that another of the same id replaces, as each was written once.
+
+    Of two entities that claim a name at the same seq the one of the lesser id has it.
+    """
+    batch = write_shared(batch, "entities")
+    names = tokens(batch).groupBy("token").agg(F.min(F.struct("seq", "id")).alias("m")).select("token", "m.id", "m.seq")
+    graph.aliases.upsert(names)
+    graph.entities.upsert(batch)
+
+
+def upsert_relations(graph: Graph, batch: DataFrame) -> None:
+    """Relations by their ends and type."""
+    graph.relations.upsert(batch)
 
 
 def resolve(mentions: DataFrame, index: DataFrame) -> DataFrame:

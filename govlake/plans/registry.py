@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import access, carbon, catalog, clean, export, graph, lineage, models, privacy, profile, provenance, quality
 from ..operators.quality import Rule
-from ..sources import readers
+from ..sources import keyed, readers
 from ..sources.shared import shared_dir
 from ..streaming import ingest
 from . import governed
@@ -472,6 +472,47 @@ def graph_roll_up(spark, sf_dir):
     return graph.roll_up(*_entities(spark, sf_dir))
 
 
+@query("""WITH u AS (SELECT c_custkey AS k, 0 AS seq, c_acctbal AS amount, 'opened' AS what FROM customer UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus FROM orders)
+SELECT k, max(seq) AS seq, arg_max(amount, seq) AS amount, arg_max(what, seq) AS what FROM u GROUP BY k""")
+def keyed_upsert(spark, sf_dir):
+    """Customers and then their orders upserted by customer in three batches that come out of order: the latest order of each is left."""
+    state = keyed.create(spark, _scratch(spark), "k long, seq long, amount double, what string", ["k"], buckets=8)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("what"))
+    late, first = orders.where("seq % 2 = 0"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(0).alias("seq"), F.col("c_acctbal").alias("amount"), F.lit("opened").alias("what"))
+    for batch in (orders.where("seq % 2 = 1"), first, late):
+        state.upsert(batch)
+    return keyed.open_table(spark, state.path).read()
+
+
+@query("""WITH n AS (SELECT 'p' || p_partkey AS id, p_partkey AS seq, 'part' || p_partkey AS label, [p_brand || '/' || p_size, upper(p_type)] AS aliases FROM part
+UNION ALL SELECT 'p' || p_partkey, p_partkey + 1000000, 'Renamed ' || p_partkey, [p_type || '!'] FROM part WHERE p_partkey % 3 = 0),
+t AS (SELECT id, seq, lower(trim(unnest(list_concat([id, label], aliases)))) AS token FROM n), f AS (SELECT token, arg_min(id, (seq, id)) AS id FROM t GROUP BY token)
+SELECT token, f.id, arg_max(label, seq) AS label FROM f JOIN n USING (id) GROUP BY token, f.id""")
+def entity_upsert(spark, sf_dir):
+    """Parts as entities in three batches, a third of them renamed: every name ever written with its first writer, and the label that one has now."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    key = k.cast("string")
+    first = part.select(F.concat(F.lit("p"), key).alias("id"), k.alias("seq"), F.concat(F.lit("part"), key).alias("label"), F.array(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")), F.upper("p_type")).alias("aliases"))
+    again = part.where(k % 3 == 0).select(F.concat(F.lit("p"), key).alias("id"), (k + 1_000_000).alias("seq"), F.concat(F.lit("Renamed "), key).alias("label"), F.array(F.concat("p_type", F.lit("!"))).alias("aliases"))
+    g = graph.store(spark, _scratch(spark), buckets=8)
+    for batch in (first.where("seq % 2 = 0"), again, first.where("seq % 2 = 1")):
+        graph.upsert_entities(g, batch)
+    return g.aliases.read().select("token", "id").join(g.entities.read().select("id", "label"), "id").select("token", "id", "label")
+
+
+@query("""SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'holds' AS type, max(CAST(CAST(l_shipdate AS DATE) AS VARCHAR) || '|' || l_linenumber) AS properties FROM lineitem GROUP BY ALL""")
+def relation_upsert(spark, sf_dir):
+    """Which order holds which part, upserted line by line in two batches: one relation for both ends and type, with what the line shipped last says."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("holds").alias("type"),
+        F.concat_ws("|", F.to_date("l_shipdate").cast("string"), F.col("l_linenumber").cast("string")).alias("properties"), (F.unix_date(F.to_date("l_shipdate")).cast("long") * 8 + F.col("l_linenumber")).alias("seq"),
+    )
+    g = graph.store(spark, _scratch(spark), buckets=8)
+    for batch in (lines.where("seq % 8 > 3"), lines.where("seq % 8 <= 3")):
+        graph.upsert_relations(g, batch)
+    return g.relations.read().select("src", "dst", "type", "properties")
+
+
 def _lineage(spark, sf_dir) -> DataFrame:
     """Each document flows from its source to its language, and on to a shard: edges that Spark derives from the table."""
     docs = table(spark, sf_dir, "documents")
