@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import secrets
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,22 +65,24 @@ def laplace(c: Column, scale: float, u: Column) -> Column:
     return c - F.lit(scale) * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
 
-def differential_privacy(df: DataFrame, columns: Sequence[str] | None = None, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int | None = None) -> DataFrame:
+def differential_privacy(df: DataFrame, columns: Sequence[str] | None = None, epsilon: float = 1.0, sensitivity: float | Mapping[str, float] = 1.0, seed: int | None = None) -> DataFrame:
     """Laplace noise on every numeric result column, or on the named ones; refused if there is none, as the exact result would leave.
 
     Each call draws fresh noise. With a seed, for tests, the noise of a row hangs on the seed and its other columns, so it is
-    the same however the rows are dealt. Whole numbers are rounded half to even.
+    the same however the rows are dealt. Whole numbers are rounded half to even. sensitivity is how much one person can move a
+    result, for all columns or by name (1 where a name is absent): a sum of prices needs the bound of a price.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     columns = [c for c, t in kinds.items() if isinstance(t, T.NumericType)] if columns is None else list(columns)
     if not columns:
         raise PermissionError("no numeric column can carry the noise that is asked for")
+    bound = lambda c: sensitivity.get(c, 1.0) if isinstance(sensitivity, Mapping) else sensitivity
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     out = {}
     for i, c in enumerate(columns):
         u = F.rand(secrets.randbits(62)) if seed is None else F.pmod(F.xxhash64(*rest, F.lit(seed), F.lit(i)), F.lit(1 << 52)) / float(1 << 52)
-        noisy = laplace(F.col(f"`{c}`").cast("double"), sensitivity / epsilon, u)
+        noisy = laplace(F.col(f"`{c}`").cast("double"), bound(c) / epsilon, u)
         out[c] = F.when(F.col(f"`{c}`").isNotNull(), (F.bround(noisy, 0) if isinstance(kinds[c], whole) else noisy).cast(kinds[c]))
     return df.withColumns(out)
 

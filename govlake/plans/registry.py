@@ -18,6 +18,7 @@ from ..operators.quality import Rule
 from ..sources import keyed, readers
 from ..sources.shared import shared_dir
 from ..streaming import ingest
+from ..streaming.admission import Admission
 from . import governed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +128,33 @@ def governed_denied(spark, sf_dir):
     return log.crossJoin(F.broadcast(orders.agg(F.count(F.lit(1)).alias("orders"))))  # one row on the right
 
 
+@query("""SELECT o_orderstatus, count(*) AS n, count(DISTINCT substr(sha256(o_orderpriority), 1, 16)) AS priorities, TRUE AS measured FROM orders WHERE regexp_matches(o_orderpriority, '^[0-9]{1}-') GROUP BY o_orderstatus""")
+def governed_dotted(spark, sf_dir):
+    """A dataset by its dotted id, and a pattern with braces; the log knows the bytes of the files that were read."""
+    orders = table(spark, sf_dir, "orders")
+    sql = "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_orderpriority) AS priorities FROM {credit.loans} WHERE c_like RLIKE '^[0-9]{1}-' GROUP BY o_orderstatus"
+    out = governed.run(spark, sql, {"credit.loans": orders.withColumn("c_like", F.col("o_orderpriority"))}, governed.Grant(masked={"credit.loans": ["o_orderpriority"]}))
+    return out.withColumn("measured", F.lit(governed.scanned(spark, out) > 0))
+
+
+@query("""WITH RECURSIVE q AS (SELECT 'user' || (user_id % 40) AS subject, event_type AS dataset, CASE WHEN value > 50 THEN 0.25 ELSE 0.125 END::DOUBLE AS e, row_number() OVER (PARTITION BY user_id % 40, event_type ORDER BY ts, lpad(CAST(event_id AS VARCHAR), 12, '0')) AS i FROM events),
+r AS (SELECT subject, dataset, i, least(e, 1) AS e, e <= 1.0 AS ok, CASE WHEN e <= 1.0 THEN e ELSE 0 END AS spent FROM q WHERE i = 1
+UNION ALL SELECT q.subject, q.dataset, q.i, q.e, r.spent + q.e <= 1.0, CASE WHEN r.spent + q.e <= 1.0 THEN r.spent + q.e ELSE r.spent END FROM r JOIN q ON q.subject = r.subject AND q.dataset = r.dataset AND q.i = r.i + 1)
+SELECT subject, dataset, count(*) AS requests, count(*) FILTER (ok) AS admitted, CAST(max(spent) AS DOUBLE) AS spent FROM r GROUP BY subject, dataset""")
+def budget_admission(spark, sf_dir):
+    """Every event as a request of its user for its type, decided in order of time against a budget of 1 by the admission stream."""
+    from ..operators.graph import cut
+
+    gate = Admission(spark, _scratch(spark), 1.0)
+    asked = table(spark, sf_dir, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request"), F.concat(F.lit("user"), (F.col("user_id") % 40).cast("string")).alias("subject"), F.array("event_type").alias("datasets"),
+        F.when(F.col("value") > 50, 0.25).otherwise(0.125).alias("epsilon"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    gate.send(asked)
+    gate.decide()
+    return cut(gate.ledger().groupBy("subject", "dataset").agg(F.count(F.lit(1)).alias("requests"), F.count_if("admitted").alias("admitted"), F.sum("epsilon").alias("spent")))
+
+
 @query("""WITH ledger AS (SELECT 'user' || CAST(user_id % 40 AS VARCHAR) AS subject, event_type AS dataset, CASE WHEN value > 50 THEN 0.25 ELSE 0.125 END AS epsilon FROM events)
 SELECT subject, dataset, count(*) AS queries, CAST(sum(epsilon) AS DOUBLE) AS spent, CAST(greatest(0, 10 - sum(epsilon)) AS DOUBLE) AS remaining FROM ledger GROUP BY subject, dataset""")
 def budget_ledger(spark, sf_dir):

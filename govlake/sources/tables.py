@@ -47,8 +47,8 @@ def audit_row(spark: SparkSession, table: str, operation: str, rows: int, at: Co
     return one.withColumn("snapshot_id", F.sha2(F.concat_ws("|", "table", "operation", F.col("rows").cast("string"), F.col("at").cast("string")), 256))
 
 
-def byte_size(spark: SparkSession, path: str) -> DataFrame:
-    """One row (files, bytes) of the files below a path; only their lengths are read."""
+def byte_size(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row (files, bytes) of the files below a path, or below several; only their lengths are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
     return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
