@@ -225,6 +225,22 @@ def quality_report(spark, sf_dir):
     return quality.report(quality.evaluate(dirty_customers(spark, sf_dir), _ALL))
 
 
+@query(f"""WITH {DIRTY}, c AS (SELECT count(*) FILTER (segment IS NULL) AS a, count(*) FILTER (balance < 0) AS b FROM dirty)
+SELECT 'customers' AS dataset, CASE WHEN a = 0 AND b = 0 THEN 'passed' ELSE 'failed' END AS status, round((CAST(a = 0 AS INT) + CAST(b = 0 AS INT)) / 5.0::DOUBLE, 4) AS score, 3 + CAST(a > 0 AS BIGINT) + CAST(b > 0 AS BIGINT) AS failed FROM c
+UNION ALL SELECT 'lines', CASE WHEN bool_and(l_quantity > 0) THEN 'passed' ELSE 'failed' END, CASE WHEN bool_and(l_quantity > 0) THEN 1.0 ELSE 0.5 END, count(*) FILTER (l_quantity <= 0 AND l_orderkey < 0) FROM lineitem
+UNION ALL SELECT 'nothing', 'skipped', NULL, NULL UNION ALL SELECT 'unreadable', 'errored', NULL, NULL""")
+def quality_pack(spark, sf_dir):
+    """A pack: customers with two sound rules and three that fail while they run or for want of a parent, lines with two sound ones, a dataset without data and one that can't be read."""
+    customers = [Rule("set", "not_null", "segment"), Rule("bad_pattern", "regex", "segment", {"pattern": "("}), Rule("text_as_number", "range", "segment", {"min": 3}), Rule("orphan", "referential", "c_custkey", {"table": "gone", "column": "k"}), Rule("positive", "range", "balance", {"min": 0})]
+    lines = [Rule("quantity", "range", "l_quantity", {"min": 0.0001}), Rule("order_exists", "referential", "l_orderkey", {"table": "orders", "column": "o_orderkey"})]
+    pack = {
+        "customers": (lambda: dirty_customers(spark, sf_dir), customers), "lines": (lambda: table(spark, sf_dir, "lineitem"), lines),
+        "nothing": (lambda: None, customers), "unreadable": (lambda: table(spark, sf_dir, "no_such_table"), lines),
+    }
+    report = quality.gate_pack(spark, pack, parents={"orders": table(spark, sf_dir, "orders")})
+    return report.scores(spark).select("dataset", "status", "score", "failed")
+
+
 # ---- profile ----------------------------------------------------------------------------------------------------
 
 _S = STRIP.format("segment")
