@@ -25,6 +25,11 @@ class Step:
     params: dict = field(default_factory=dict)
 
 
+def _col(name: str) -> Column:
+    """A column by its whole name, dots and backticks too."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _strings(df: DataFrame, columns: Sequence[str]) -> list[str]:
     have = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     return [c for c in (columns or df.columns) if c in have]
@@ -36,7 +41,7 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def _each(df: DataFrame, columns: Sequence[str], how) -> DataFrame:
-    return df.withColumns({c: how(F.col(c)) for c in columns})
+    return df.withColumns({c: how(_col(c)) for c in columns})
 
 
 def trim(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
@@ -61,9 +66,9 @@ def normalize_category(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     The forms that matter are those of folded values with several forms; Spark broadcasts that table if it is small.
     """
     for c in _strings(df, columns):
-        forms = df.where(F.col(c).isNotNull()).groupBy(F.lower(X.strip(F.col(c))).alias("_folded"), X.strip(F.col(c)).alias("_form")).agg(F.count(F.lit(1)).alias("_n"))
+        forms = df.where(_col(c).isNotNull()).groupBy(F.lower(X.strip(_col(c))).alias("_folded"), X.strip(_col(c)).alias("_form")).agg(F.count(F.lit(1)).alias("_n"))
         best = forms.groupBy("_folded").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_form").alias("form"))).alias("_best")).select("_folded", F.col("_best.form").alias("_canon"))
-        df = df.join(best, F.lower(X.strip(F.col(c))) == F.col("_folded"), "left").withColumn(c, F.when(F.col(c).isNotNull(), F.col("_canon"))).drop("_folded", "_canon")
+        df = df.join(best, F.lower(X.strip(_col(c))) == F.col("_folded"), "left").withColumn(c, F.when(_col(c).isNotNull(), F.col("_canon"))).drop("_folded", "_canon")
     return df
 
 
@@ -72,12 +77,12 @@ def split_unit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     split = set(_strings(df, columns))
     out = []
     for c in df.columns:
-        out += [X.unit_value(F.col(c)).alias(f"{c}_value"), X.unit_name(F.col(c)).alias(f"{c}_unit")] if c in split else [F.col(c)]
+        out += [X.unit_value(_col(c)).alias(f"{c}_value"), X.unit_name(_col(c)).alias(f"{c}_unit")] if c in split else [_col(c)]
     return df.select(*out)
 
 
 def coerce_type(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    return df.withColumns({c: X.coerce(F.col(c), t) for c, t in types.items() if c in _strings(df, list(types))})
+    return df.withColumns({c: X.coerce(_col(c), t) for c, t in types.items() if c in _strings(df, list(types))})
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
@@ -88,8 +93,8 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Without the columns that hold null only; the rows stay."""
     if not df.columns:
         return df
-    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(df.columns)]).first()
-    return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if filled[i]])
+    filled = df.agg(*[F.count(_col(c)).alias(str(i)) for i, c in enumerate(df.columns)]).first()
+    return df.select(*[_col(c) for i, c in enumerate(df.columns) if filled[i]])
 
 
 def impute(df: DataFrame, columns: Sequence[str] = (), strategy: str = "mean", value=None) -> DataFrame:
@@ -102,24 +107,24 @@ def impute(df: DataFrame, columns: Sequence[str] = (), strategy: str = "mean", v
         return df
     if strategy == "constant":
         fills = {c: F.lit(str(value)).try_cast(kinds[c]) for c in columns}
-        return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in fills.items()})
+        return df.withColumns({c: F.coalesce(_col(c), v) for c, v in fills.items()})
     how = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}
     if strategy == "median":
-        middle = {r.column: r.median for r in quantiles.of_columns(df, {c: F.col(c) for c in columns}, {"median": 0.5}).collect()}  # a row a column
+        middle = {r.column: r.median for r in quantiles.of_columns(df, {c: _col(c) for c in columns}, {"median": 0.5}).collect()}  # a row a column
         found = {c: middle.get(c) for c in columns}
     else:
-        found = df.agg(*[how[strategy](F.col(c)).alias(c) for c in columns]).first()
+        found = df.agg(*[how[strategy](_col(c)).alias(c) for c in columns]).first()
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     fill = lambda c: F.bround(F.lit(found[c]).cast("double"), 0) if isinstance(kinds[c], whole) and strategy != "mode" else F.lit(found[c])
-    return df.withColumns({c: F.coalesce(F.col(c), fill(c).cast(kinds[c])) for c in columns if found[c] is not None})
+    return df.withColumns({c: F.coalesce(_col(c), fill(c).cast(kinds[c])) for c in columns if found[c] is not None})
 
 
 def _limits(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     columns = _numbers(df, columns)
     if not columns:
         return {}
-    found = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    quartiles = quantiles.quartiles(df, {c: F.col(c) for c in columns})
+    found = df.agg(*[F.count(_col(c)).alias(c) for c in columns]).first()
+    quartiles = quantiles.quartiles(df, {c: _col(c) for c in columns})
     return {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, q3) in quartiles.items() if found[c] >= 4 and q3 != q1}
 
 
@@ -127,8 +132,8 @@ def clip_outliers(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     out = {}
     for c, (lo, hi) in _limits(df, columns).items():
         kind = df.schema[c].dataType
-        clipped = F.least(F.greatest(F.col(c).cast("double"), F.lit(lo)), F.lit(hi))
-        out[c] = F.when(F.col(c).isNotNull(), (F.bround(clipped, 0) if not isinstance(kind, (T.FloatType, T.DoubleType)) else clipped).cast(kind))
+        clipped = F.least(F.greatest(_col(c).cast("double"), F.lit(lo)), F.lit(hi))
+        out[c] = F.when(_col(c).isNotNull(), (F.bround(clipped, 0) if not isinstance(kind, (T.FloatType, T.DoubleType)) else clipped).cast(kind))
     return df.withColumns(out)
 
 
@@ -136,10 +141,10 @@ def flag_outliers(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """Adds x__outlier after each numeric x: false for null and where there are no fences."""
     limits, wanted, out = _limits(df, columns), set(_numbers(df, columns)), []
     for c in df.columns:
-        out.append(F.col(c))
+        out.append(_col(c))
         if c in wanted:
             lo, hi = limits.get(c, (None, None))
-            out.append((F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)) if c in limits else F.lit(False)).alias(f"{c}__outlier"))
+            out.append((F.coalesce((_col(c) < lo) | (_col(c) > hi), F.lit(False)) if c in limits else F.lit(False)).alias(f"{c}__outlier"))
     return df.select(*out)
 
 
@@ -150,43 +155,94 @@ OPS = {
     "drop_empty_columns": lambda df, s: drop_empty_columns(df), "impute": lambda df, s: impute(df, s.columns, s.params.get("strategy", "mean"), s.params.get("value")),
     "clip_outliers": lambda df, s: clip_outliers(df, s.columns), "flag_outliers": lambda df, s: flag_outliers(df, s.columns),
 }
-#: Steps that change values in place, row by row: what they change can be counted in the same pass.
-IN_PLACE = ("trim", "collapse_ws", "empty_to_null", "standardize_case", "coerce_type", "clip_outliers")
+#: Steps that change values in place, row by row or by the table's statistics: cells can be compared with what they were in the same pass.
+IN_PLACE = ("trim", "collapse_ws", "empty_to_null", "standardize_case", "normalize_category", "coerce_type", "impute", "clip_outliers")
 
 
 @dataclass
 class Cleaned:
     data: DataFrame
     notes: list[dict]
-    observations: dict[int, Observation]
+    observations: dict[int, tuple[Observation, Observation]]
 
     def audit(self) -> list[dict]:
-        """Once data has been written or counted: each step with the cells it changed."""
-        return [n | ({"cells_changed": self.observations[i].get["changed"]} if i in self.observations else {}) for i, n in enumerate(self.notes)]
+        """Once data has been written or counted: each step with the cells it changed, split or flagged, and the rows before it that are gone after it."""
+        out = []
+        for i, n in enumerate(self.notes):
+            if i in self.observations:
+                before, after = (o.get for o in self.observations[i])
+                n = n | {"cells_changed": after["changed"], "rows_removed": before["rows"] - after["rows"]}
+            out.append(n)
+        return out
+
+
+def _total(counts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, counts, F.lit(0))
 
 
 def apply_plan(df: DataFrame, plan: Sequence[Step]) -> Cleaned:
-    """Run the steps in order; an unknown op is noted and skipped."""
+    """Run the steps in order; an unknown op is noted and skipped.
+
+    What every step does is counted in the pass that the data takes anyway, by metrics observed before and after it: no shuffle and no scan is added.
+    """
     notes, seen = [], {}
-    for i, step in enumerate(plan):
+    for step in plan:
         if step.op not in OPS:
             notes.append({"op": step.op, "note": "unknown op, skipped"})
             continue
-        before = df
-        df = OPS[step.op](df, step)
-        note = {"op": step.op, "added": [c for c in df.columns if c not in before.columns], "removed": [c for c in before.columns if c not in df.columns]}
+        i, before, source = len(notes), df, Observation()
+        counted = before.observe(source, F.count(F.lit(1)).alias("rows"))
+        old = {}
         if step.op in IN_PLACE:
-            columns = list(step.params.get("types", step.columns or before.columns))
-            columns = [c for c in columns if c in before.columns]
+            columns = [c for c in step.params.get("types", step.columns or before.columns) if c in before.columns]
             old = {c: f"_old_{i}_{k}" for k, c in enumerate(columns)}
-            both = OPS[step.op](before.withColumns({o: F.col(c) for c, o in old.items()}), Step(step.op, tuple(columns), step.params))
-            changed = reduce(lambda a, b: a + b, [F.count_if(~F.col(c).cast("string").eqNullSafe(F.col(o).cast("string"))) for c, o in old.items()], F.lit(0))
-            seen[i] = Observation()
-            df = both.observe(seen[i], changed.alias("changed")).drop(*old.values())
-        notes.append(note)
+            df = OPS[step.op](counted.withColumns({o: _col(c) for c, o in old.items()}), Step(step.op, tuple(columns), step.params)) if columns else counted
+            changed = [F.count_if(~_col(c).cast("string").eqNullSafe(F.col(o).cast("string"))) for c, o in old.items()]
+        else:
+            df = OPS[step.op](counted, step)
+            added = [c for c in df.columns if c not in before.columns]
+            changed = [F.count(_col(c)) for c in added if c.endswith("_value")] if step.op == "split_unit" else [F.count_if(_col(c)) for c in added] if step.op == "flag_outliers" else []
+        seen[i] = (source, Observation())
+        df = df.observe(seen[i][1], _total(changed).cast("long").alias("changed"), F.count(F.lit(1)).alias("rows")).drop(*old.values())
+        notes.append({"op": step.op, "added": [c for c in df.columns if c not in before.columns], "removed": [c for c in before.columns if c not in df.columns]})
     return Cleaned(df, notes, seen)
 
 
+def _fingerprint(columns: Sequence[str]) -> Column:
+    """128 bits of a row's values as text, a null unlike any text."""
+    values = F.array(*[F.coalesce(F.concat(F.lit("="), _col(c).cast("string")), F.lit("")) for c in columns])
+    return F.struct(F.xxhash64(values).alias("a"), F.xxhash64(values, F.lit(1)).alias("b"))
+
+
+def differences(frames: Sequence[DataFrame]) -> DataFrame:
+    """(step from 1, removed, added): how each frame differs from the one before it as a bag of rows, over the columns that both have.
+
+    Rows need no key: a fingerprint counts +1 before and -1 after, so rows that stay cancel, however often they repeat. Sums are made before the
+    shuffle, so a row that is a third of the table is one entry of each task. All steps are one aggregate.
+    """
+    parts = []
+    for i, df in enumerate(frames):
+        sides = []
+        for step, other, sign in ((i + 1, i + 1, 1), (i, i - 1, -1)):
+            if 0 <= other < len(frames) and step >= 1:
+                common = [c for c in frames[min(i, other)].columns if c in frames[max(i, other)].columns]
+                sides.append(F.struct(F.lit(step).alias("step"), F.lit(sign).alias("sign"), _fingerprint(common).alias("row")))
+        parts.append(df.select(F.inline(F.array(*sides))))
+    left = reduce(DataFrame.unionByName, parts).groupBy("step", "row").agg(F.sum("sign").alias("n"))
+    return left.groupBy("step").agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("removed"), F.coalesce(F.sum(F.when(F.col("n") < 0, -F.col("n"))), F.lit(0)).alias("added"))
+
+
+def step_differences(df: DataFrame, plan: Sequence[Step]) -> DataFrame:
+    """(step, op, removed, added) for the known steps of a plan: an audit that trusts no step's own account. Each step's rows are made anew from df."""
+    known = [s for s in plan if s.op in OPS]
+    frames = [df]
+    for step in known:
+        frames.append(OPS[step.op](frames[-1], step))
+    names = F.array(*[F.lit(s.op) for s in known])
+    found = differences(frames)
+    return found.select("step", F.element_at(names, F.col("step")).alias("op"), "removed", "added")
+
+
 def derive_plan(assessment: DataFrame) -> list[Step]:
     """The plan that a profile recommends, in a fixed order. It never imputes or clips by itself."""
     rows = assessment.select("column", "inferred_type", "steps").orderBy("column").collect()  # a row for each column

@@ -402,6 +402,46 @@ def clean_plan(spark, sf_dir):
     return clean.apply_plan(dirty_customers(spark, sf_dir), plan).data.select("c_custkey", "segment", "joined")
 
 
+_AUDITED = f"""{DIRTY}, b AS (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN 'two  blanks' ELSE 'one blank' END AS note, CASE WHEN c_custkey % 6 = 0 THEN 'n/k' ELSE c_custkey % 50 || ' KG' END AS pack FROM dirty),
+d AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE c_custkey % 10 = 0), t AS (SELECT *, {_S} AS s FROM d), e AS (SELECT *, CASE WHEN lower(s) NOT IN {MISSING_SQL} THEN s END AS seg FROM t),
+f AS (SELECT lower(seg) AS folded, seg AS form FROM e WHERE seg IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lower(seg) ORDER BY count(*) DESC, seg) = 1),
+n AS (SELECT e.*, form FROM e LEFT JOIN f ON lower(seg) = folded), m AS (SELECT *, coalesce(balance, (SELECT avg(balance) FROM n)) AS filled FROM n), q AS (SELECT quantile_cont(filled, 0.25) AS q1, quantile_cont(filled, 0.75) AS q3 FROM m),
+o AS (SELECT count(*) FILTER (filled < q1 - 1.5 * (q3 - q1) OR filled > q3 + 1.5 * (q3 - q1)) AS out FROM m, q)"""
+_AUDIT_COUNTS = [
+    ("trim", "count(*) FILTER (segment <> s)", "t"), ("collapse_ws", "count(*) FILTER (c_custkey % 4 = 0)", "d"), ("empty_to_null", "count(*) FILTER (s IS NOT NULL AND seg IS NULL)", "e"),
+    ("normalize_category", "count(*) FILTER (form <> seg)", "n"), ("standardize_case", "count(*) FILTER (lower(form) <> form)", "n"), ("split_unit", "count(*) FILTER (c_custkey % 6 <> 0)", "d"),
+    ("coerce_type", "count(*) FILTER (joined = 'unknown')", "d"), ("impute", "count(*) FILTER (balance IS NULL)", "d"), ("flag_outliers", "max(out)", "o"), ("clip_outliers", "max(out)", "o"), ("dedupe_rows", "0 * count(*)", "d"), ("drop_empty_columns", "0 * count(*)", "d"),
+]
+_AUDIT_PLAN = [
+    clean.Step("trim", ("segment",)), clean.Step("collapse_ws", ("note",)), clean.Step("empty_to_null", ("segment",)), clean.Step("normalize_category", ("segment",)), clean.Step("standardize_case", ("segment",), {"case": "lower"}), clean.Step("split_unit", ("pack",)),
+    clean.Step("coerce_type", ("joined",), {"types": {"joined": "date"}}), clean.Step("impute", ("balance",), {"strategy": "mean"}), clean.Step("flag_outliers", ("balance",)), clean.Step("clip_outliers", ("balance",)), clean.Step("dedupe_rows"), clean.Step("drop_empty_columns"),
+]
+
+
+def audited_customers(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = dirty_customers(spark, sf_dir).withColumn("note", F.when(k % 4 == 0, "two  blanks").otherwise("one blank")).withColumn("pack", F.when(k % 6 == 0, "n/k").otherwise(F.concat((k % 50).cast("string"), F.lit(" KG")))).withColumn("empty", F.lit(None).cast("string"))
+    return rows.unionByName(rows.where(k % 10 == 0))
+
+
+@query(f"WITH {_AUDITED} " + " UNION ALL ".join(f"SELECT {i + 1} AS step, '{op}' AS op, CAST({n} AS BIGINT) AS cells_changed, CAST({'count(*) FILTER (c_custkey % 10 = 0) // 2' if op == 'dedupe_rows' else '0 * max(1)'} AS BIGINT) AS rows_removed FROM {t}" for i, (op, n, t) in enumerate(_AUDIT_COUNTS)))
+def clean_audit(spark, sf_dir):
+    """What each of the twelve steps did, as observed in the one pass that the cleaned rows were written in."""
+    done = clean.apply_plan(audited_customers(spark, sf_dir), _AUDIT_PLAN)
+    done.data.write.format("noop").mode("overwrite").save()
+    rows = [(i + 1, a["op"], a["cells_changed"], a["rows_removed"]) for i, a in enumerate(done.audit())]
+    return spark.createDataFrame(rows, "step int, op string, cells_changed long, rows_removed long")
+
+
+@query(f"WITH {_AUDITED} " + " UNION ALL ".join(
+    f"SELECT {i + 1} AS step, '{op}' AS op, CAST({'count(*) FILTER (c_custkey % 10 = 0) // 2' if op == 'dedupe_rows' else '0 * max(1)' if op in ('split_unit', 'flag_outliers') else n} AS BIGINT) AS removed, CAST({'0 * max(1)' if op in ('split_unit', 'flag_outliers', 'dedupe_rows') else n} AS BIGINT) AS added FROM {t}"
+    for i, (op, n, t) in enumerate(_AUDIT_COUNTS)
+))
+def clean_differences(spark, sf_dir):
+    """How each of the twelve steps changed the bag of rows, by fingerprints that count +1 before and -1 after it."""
+    return clean.step_differences(audited_customers(spark, sf_dir), _AUDIT_PLAN)
+
+
 # ---- personal data ----------------------------------------------------------------------------------------------
 
 _PII_SQL = r"""regexp_matches({0}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}') OR regexp_matches({0}, '\b\d{{3}}-\d{{2}}-\d{{4}}\b') OR regexp_matches({0}, '(^|[^0-9])(\+?[0-9][0-9\s().-]{{7,}}[0-9])($|[^0-9])')"""

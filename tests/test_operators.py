@@ -297,3 +297,13 @@ def test_quantiles_equal_percentile_and_need_no_buffer_of_all_values(spark):
         plan = lazy._jdf.queryExecution().optimizedPlan().toString()
         assert "percentile(" not in plan and "row_number" not in plan
     assert {r.k: r.p95_ms for r in carbon.latency(log, ["k"]).where("k IN ('hot', 'one')").collect()} == {"hot": sorted(r[1] for r in rows if r[0] == "hot")[1899], "one": 7.25}
+
+
+def test_quantiles_need_no_reused_exchange(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("k"), (F.hash("id") % 100_000).cast("double").alias("v"))
+    want = {r.k: r.m for r in rows.groupBy("k").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert {r.k: r.m for r in quantiles.by_key(rows, ["k"], F.col("v"), {"m": 0.5}).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from govlake.operators import quality
+from govlake.operators import clean, quality
 from govlake.operators.quality import Rule
 
 
@@ -49,3 +49,24 @@ def test_gate_over_a_pack(spark, tmp_path):
     assert not quality.gate_pack(spark, {"c": pack["c"]}, require_data=True).verdict(spark).first().passed
     with pytest.raises(Exception):  # noqa: B017 - a table that can't be read is not the rules' fault
         quality.evaluate(lost, good)
+
+
+def test_bags_of_rows_are_compared_without_a_key(spark):
+    make = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    before = make([("x", None)] * 1000 + [("y", ""), (None, "x"), ("z", "z")])
+    after = make([("x", None)] * 998 + [("y", None), ("x", None), (None, "x"), ("new", "row"), ("new", "row")])
+    assert [tuple(r) for r in clean.differences([before, after]).collect()] == [(1, 3, 3)]
+    assert [tuple(r) for r in clean.differences([before, before.repartition(3)]).collect()] == [(1, 0, 0)]
+    assert [tuple(r) for r in clean.differences([make([("v", None)]), make([(None, "v")])]).collect()] == [(1, 1, 1)]
+    assert clean.differences([before.limit(0), after.limit(0)]).collect() == []
+    plan = clean.differences([before, after])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_cleaning_of_dotted_names(spark):
+    df = spark.createDataFrame([(" a ", None, 1.0, "3 kg"), ("b", "NA", None, "4 kg"), ("B", "q", 3.0, "x")], "`x.y` string, `m` string, `n.1` double, `u.v` string")
+    plan = [clean.Step("trim"), clean.Step("empty_to_null"), clean.Step("normalize_category", ("x.y",)), clean.Step("impute", ("n.1",)), clean.Step("split_unit", ("u.v",)), clean.Step("clip_outliers"), clean.Step("flag_outliers", ("n.1",)), clean.Step("dedupe_rows")]
+    done = clean.apply_plan(df, plan)
+    rows = sorted((tuple(r) for r in done.data.collect()), key=lambda r: r[0])
+    assert [r[0] for r in rows] == ["B", "B", "a"] and {r[2] for r in rows} == {1.0, 2.0, 3.0} and done.data.columns == ["x.y", "m", "n.1", "n.1__outlier", "u.v_value", "u.v_unit"]
+    assert [a["cells_changed"] for a in done.audit()] == [1, 1, 1, 1, 2, 0, 0, 0]
