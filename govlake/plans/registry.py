@@ -843,6 +843,28 @@ def table_digest(spark, sf_dir):
     return provenance.digest(table(spark, sf_dir, "documents")).select("rows", F.col("digest").cast("string").alias("digest"))
 
 
+_ROW_SQL = "sha256(" + " || ".join(f"'{c}=' || coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-') || ';'" for c in ("doc_id", "text", "lang", "source", "n_chars")) + ")"
+_TREE_SQL = ", ".join(
+    [f"h AS (SELECT row_number() OVER (ORDER BY doc_id, {_ROW_SQL}) - 1 AS i, {_ROW_SQL} AS h FROM documents)", "l0 AS MATERIALIZED (SELECT i // 50 AS node, count(*) AS rows, sha256(string_agg(h, '' ORDER BY i)) AS digest FROM h GROUP BY 1)"]
+    + [f"l{k} AS MATERIALIZED (SELECT node // 4 AS node, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) > 1 GROUP BY 1)" for k in range(1, 9)]
+)
+
+
+@query(f"WITH {_TREE_SQL} " + " UNION ALL ".join(f"SELECT {k} AS level, node, rows, digest FROM l{k}" for k in range(9)))
+def ordered_digest(spark, sf_dir):
+    """The hash tree of the documents in order of their id: chunks of 50 rows, four nodes below each of the others."""
+    return provenance.hash_tree(table(spark, sf_dir, "documents"), ["doc_id"], 50, 4)
+
+
+@query("""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id % 197 = 0 AND text <> lower(text) AS hit FROM documents)
+SELECT i // 50 AS node, count(*) AS rows_before, count(*) AS rows_after FROM d GROUP BY 1 HAVING bool_or(hit)""")
+def tampered_chunks(spark, sf_dir):
+    """Documents of which a few are changed: the chunks that hold them, found from the roots down."""
+    docs = table(spark, sf_dir, "documents")
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 197 == 0, F.lower("text")).otherwise(F.col("text")))
+    return provenance.changed_chunks(*(provenance.hash_tree(d, ["doc_id"], 50, 4) for d in (docs, changed)), fan=4)
+
+
 @query("""WITH c AS (SELECT 'customer' AS t, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem) SELECT t AS "table", n AS rows FROM c ORDER BY n DESC, t LIMIT 1""")
 def richest_table(spark, sf_dir):
     return readers.richest({t: table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")})
