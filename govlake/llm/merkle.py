@@ -123,6 +123,7 @@ def build(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: S
     extra = carried or {}
     key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
     rows = docs.select(key.alias("key"), F.col(order).alias("id"), F.unhex(leaf([F.col(c) for c in fields])).alias("digest"), *[v.alias(c) for c, v in extra.items()], F.monotonically_increasing_id().alias("tie"))
+    rows = write_shared(rows, "digests")  # texts are read once, not again for the borders of the ranges
     dense = numbered(rows, ["key", "id", "digest", "tie"])
     dense = write_shared(dense.drop("tie"), "leaves")
     groups = write_shared(dense.groupBy("key").agg(F.min("_i").alias("first"), F.count(F.lit(1)).alias("size")), "groups")
