@@ -40,6 +40,18 @@ def savings(log: DataFrame, against: float = max(INTENSITY.values())) -> DataFra
     return day.withColumn("grams_saved", F.col("kwh") * against - F.col("grams")).withColumn("share_saved", F.col("grams_saved") / (F.col("kwh") * against))
 
 
+def savings_at_levels(log: DataFrame, against: float = max(INTENSITY.values()), price: float = 0.25) -> DataFrame:
+    """(level, day, region, queries, kwh, grams, cost, grams_saved): by day and region, by day, by region and in total, from one scan.
+
+    cost is energy at `price` a kWh; against is the grid that savings are told from, as the local one or the worst.
+    """
+    at = accounted(log).withColumn("day", F.to_date("at"))
+    sets = at.groupingSets([["day", "region"], ["day"], ["region"], []], "day", "region")
+    level = F.element_at(F.array(*[F.lit(n) for n in ("day and region", "day", "region", "total")]), (F.grouping_id("day", "region") + 1).cast("int"))
+    out = sets.agg(level.alias("level"), F.count(F.lit(1)).alias("queries"), F.sum("kwh").alias("kwh"), F.sum("grams").alias("grams"))
+    return out.withColumn("cost", F.col("kwh") * price).withColumn("grams_saved", F.col("kwh") * against - F.col("grams"))
+
+
 def latency(log: DataFrame, keys: list[str], share: float = 0.95) -> DataFrame:
     """The nearest-rank percentile of ms within keys, at round(share (n - 1)) of the sorted values."""
     found = quantiles.at_ranks(log, keys, F.col("ms"), [lambda n: F.bround(share * (n - 1))])
@@ -54,3 +66,12 @@ def freshness(feeds: DataFrame, now: Column) -> DataFrame:
 
 def feed_roll_up(feeds: DataFrame) -> DataFrame:
     return feeds.groupBy("modality").agg(F.count(F.lit(1)).alias("feeds"), F.sum("per_minute").alias("per_minute"), F.round(F.avg(F.col("within").cast("double")), 4).alias("slo_share"), F.count_if(~F.col("within")).alias("attention"))
+
+
+def feed_board(feeds: DataFrame) -> DataFrame:
+    """(level, modality, domain, feeds, per_minute, slo_share, attention) of feeds with modality, domain, per_minute and within: in total, by modality and by domain, from one scan."""
+    sets = feeds.groupingSets([["modality"], ["domain"], []], "modality", "domain")
+    level = F.when(F.grouping_id("modality", "domain") == 3, "total").when(F.grouping("domain") == 1, "modality").otherwise("domain")
+    return sets.agg(
+        level.alias("level"), F.count(F.lit(1)).alias("feeds"), F.sum("per_minute").alias("per_minute"), F.round(F.avg(F.col("within").cast("double")), 4).alias("slo_share"), F.count_if(~F.col("within")).alias("attention")
+    )

@@ -124,3 +124,18 @@ def roll_up(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(type, entities, degree): entities of each type and the number of edge ends at them."""
     degree = relations.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     return entities.join(degree, "id", "left").groupBy("type").agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum("d"), F.lit(0)).alias("degree"))
+
+
+def board(entities: DataFrame, relations: DataFrame, shared: str = "shared") -> DataFrame:
+    """(level, type, domain, entities, degree, cross_links): by type, by domain and in total.
+
+    degree counts the ends of relations at the entities, cross_links those of relations to another domain, neither of them shared. Each end is looked up once; the levels are
+    one aggregate over the entities with their counts.
+    """
+    ends = entities.select("id", "domain")
+    linked = relations.select("src", "dst").join(ends.toDF("src", "src_domain"), "src", "left").join(ends.toDF("dst", "dst_domain"), "dst", "left")
+    crosses = F.coalesce((F.col("src_domain") != F.col("dst_domain")) & (F.col("src_domain") != shared) & (F.col("dst_domain") != shared), F.lit(False))
+    each = linked.select(F.explode(F.array("src", "dst")).alias("id"), crosses.cast("int").alias("x")).groupBy("id").agg(F.count(F.lit(1)).alias("d"), F.sum("x").alias("x"))
+    sets = entities.join(each, "id", "left").groupingSets([["type"], ["domain"], []], "type", "domain")
+    level = F.when(F.grouping_id("type", "domain") == 3, "total").when(F.grouping("domain") == 1, "type").otherwise("domain")
+    return sets.agg(level.alias("level"), F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum("d"), F.lit(0)).alias("degree"), F.coalesce(F.sum("x"), F.lit(0)).alias("cross_links"))

@@ -27,7 +27,7 @@ def nodes(edges: DataFrame) -> DataFrame:
 def coverage(datasets: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: share of datasets(dataset) that an edge touches."""
     touched = edges.select(F.explode(F.array("src", "dst")).alias("dataset")).distinct().withColumn("hit", F.lit(1))
-    return datasets.select("dataset").distinct().join(touched, "dataset", "left").agg(F.count(F.lit(1)).alias("datasets"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("coverage"))
+    return datasets.select("dataset").distinct().join(touched, "dataset", "left").agg(F.count(F.lit(1)).alias("datasets"), F.count("hit").alias("covered"), F.coalesce(F.round(F.try_divide(F.count("hit"), F.count(F.lit(1))), 4), F.lit(0.0)).alias("coverage"))
 
 
 def depths(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from . import quantiles
 from .profile import NUMBERS
 
-PROTECTED = ("gender", "sex", "race", "ethnicity", "religion", "age", "nationality", "marital_status")
+# Direct identifiers that a score must never be given.
+IDENTIFIERS = ("applicant_name", "national_id", "email")
+PROTECTED = (*IDENTIFIERS, "gender", "sex", "race", "ethnicity", "religion", "age", "nationality", "marital_status")
 
 
 def anomalies(df: DataFrame, columns: Sequence[str] | None = None, z: float = 3.0) -> DataFrame:
@@ -65,8 +67,9 @@ def risk_score(income: Column, amount: Column, intercept: float = -1.6, weight:
     return 1.0 / (1.0 + F.exp(-(F.lit(intercept) + F.lit(weight) * F.log1p(ratio))))
 
 
-def refuse_protected(features: Sequence[str]) -> None:
-    hit = sorted({f.lower() for f in features} & set(PROTECTED))
+def refuse_protected(features: Sequence[str], protected: Sequence[str] = PROTECTED) -> None:
+    """Raise if one of the protected columns is among the features, in any case of letters."""
+    hit = sorted({f.lower() for f in features} & {p.lower() for p in protected})
     if hit:
         raise ValueError(f"protected features: {', '.join(hit)}")
 

@@ -29,6 +29,33 @@ def classify(df: DataFrame, share: float = 0.3, strict: bool = False) -> DataFra
     return found.select("column", "pii", level.alias("sensitivity"))
 
 
+def merge_classes(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(column, pii, sensitivity) of two classifications of a table: the higher sensitivity, and personal if either says so.
+
+    It fails closed: a sensitivity that isn't known counts as the highest, and a column that only one of them has keeps what that one says.
+    """
+    both = ours.select("column", "pii", "sensitivity").unionByName(theirs.select("column", "pii", "sensitivity"))
+    known = F.when(rank(F.col("sensitivity")) > 0, F.col("sensitivity")).otherwise(RANKS[-1])
+    best = F.max(F.struct(rank(known).alias("r"), known.alias("s")))
+    return both.groupBy("column").agg(F.bool_or(F.coalesce("pii", F.lit(True))).alias("pii"), best.alias("b")).select("column", "pii", F.col("b.s").alias("sensitivity"))
+
+
+def governance_board(fields: DataFrame, policies: DataFrame, datasets: DataFrame) -> DataFrame:
+    """(level, domain, datasets, pii_fields, masked_by_default, deny_rules, signed, residencies): by domain and in total.
+
+    fields(domain, dataset, column, pii, sensitivity), policies(domain, effect), datasets(domain, dataset, signed, residency). A field is masked by default if it is
+    personal; residencies counts the distinct places that datasets are bound to. What each table says is a row of one union, so the levels are one aggregate.
+    """
+    no = {"pii": F.lit(0), "masked": F.lit(0), "deny": F.lit(0), "signed": F.lit(0), "dataset": F.lit(None).cast("string"), "residency": F.lit(None).cast("string")}
+    row = lambda df, **has: df.select("domain", *[has.get(c, v).alias(c) for c, v in no.items()])
+    masked = (F.col("pii") | F.col("sensitivity").isin("pii", "phi")).cast("int")
+    facts = row(fields, pii=F.col("pii").cast("int"), masked=masked).unionByName(row(policies, deny=(F.col("effect") == "deny").cast("int"))).unionByName(row(datasets, dataset=F.col("dataset"), signed=F.col("signed").cast("int"), residency=F.col("residency")))
+    return facts.rollup("domain").agg(
+        F.when(F.grouping("domain") == 1, "total").otherwise("domain").alias("level"), F.count("dataset").alias("datasets"), F.sum("pii").alias("pii_fields"), F.sum("masked").alias("masked_by_default"),
+        F.sum("deny").alias("deny_rules"), F.sum("signed").alias("signed"), F.count_distinct("residency").alias("residencies"),
+    )
+
+
 def dataset_sensitivity(fields: DataFrame) -> DataFrame:
     """Of (dataset, column, pii, sensitivity): the highest sensitivity of each dataset and whether it is sensitive."""
     best = F.max(F.struct(rank(F.col("sensitivity")).alias("r"), F.col("sensitivity").alias("s")))

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from ..sources.shared import write_shared
 
 
-def at_ranks(df: DataFrame, keys: Sequence[str], value: Column, ranks: Sequence[Callable[[Column], Column]]) -> DataFrame:
+def at_ranks(df: DataFrame, keys: Sequence[str], value: Column, ranks: Sequence[Callable[[Column], Column]], weight: Column | None = None) -> DataFrame:
     """(keys, _n, _r0, _r1, …): rows of each key and its values at the ranks, from 0, that the functions give for _n. Nulls come first.
+    A row counts once, or as often as its weight, a whole number, says.
 
     Equal values of a key are one row after the map-side combine. Tasks sort a range of (keys, value), so a hot key is
     spread over many; what is joined back is one total for each key and range that it lies in. The dealt counts are written once: two plans of
     the same ranges would sample other borders, and totals would not fit places.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    counted = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], value.alias("_v")).groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], value.alias("_v"), (F.lit(1) if weight is None else weight).cast("long").alias("_w")).groupBy(*names, "_v").agg(F.sum("_w").alias("_c"))
     dealt = counted.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "_v").withColumn("_part", F.spark_partition_id())
     parts = write_shared(dealt, "quantiles")
     end = F.sum("_c").over(Window.partitionBy("_part", *names).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import access, carbon, catalog, clean, export, graph, lineage, models, privacy, profile, provenance, quality
+from ..operators import access, carbon, catalog, clean, export, graph, lineage, models, overview, privacy, profile, provenance, quality
 from ..operators.quality import Rule
-from ..sources import keyed, readers
+from ..sources import keyed, mixed, readers
 from ..sources.shared import shared_dir
 from ..streaming import ingest
 from ..streaming.admission import Admission
+from ..streaming.topics import Topic
 from . import governed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -715,6 +716,48 @@ def feed_rollup(spark, sf_dir):
     return carbon.feed_roll_up(carbon.freshness(feeds, F.lit("2024-01-30 20:00:00").cast("timestamp")))
 
 
+_FEEDS_SQL = """f AS (SELECT event_type AS domain, user_id % 5 AS part, CASE WHEN user_id % 2 = 0 THEN 'streaming' ELSE 'batch' END AS modality, max(ts) AS last_at, count(*) AS n FROM events GROUP BY ALL),
+w AS (SELECT *, epoch(TIMESTAMP '2024-01-30 20:00:00') - floor(epoch(last_at)) <= CASE WHEN modality = 'streaming' THEN 30 ELSE 14400 END AS within FROM f)"""
+
+
+@query(f"""WITH {_FEEDS_SQL} SELECT CASE WHEN grouping(modality, domain) = 3 THEN 'total' WHEN grouping(domain) = 1 THEN 'modality' ELSE 'domain' END AS level, modality, domain, count(*) AS feeds, CAST(sum(n) AS BIGINT) AS per_minute,
+round(avg(CAST(within AS DOUBLE)), 4) AS slo_share, count(*) FILTER (NOT within) AS attention FROM w GROUP BY GROUPING SETS ((modality), (domain), ())""")
+def feed_board(spark, sf_dir):
+    feeds = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("domain"), (F.col("user_id") % 5).alias("part"), F.when(F.col("user_id") % 2 == 0, "streaming").otherwise("batch").alias("modality")).agg(F.max(F.col("ts").cast("timestamp")).alias("last_at"), F.count(F.lit(1)).alias("per_minute"))
+    return carbon.feed_board(carbon.freshness(feeds, F.lit("2024-01-30 20:00:00").cast("timestamp")))
+
+
+@query(f"""WITH {_LOG_SQL}, r AS (SELECT *, CAST(ts AS DATE) AS day, CASE event_id % 4 WHEN 0 THEN 'eu-north' WHEN 1 THEN 'us-west' WHEN 2 THEN 'ap-south' ELSE 'moon' END AS region FROM a)
+SELECT CASE grouping(day, region) WHEN 0 THEN 'day and region' WHEN 1 THEN 'day' WHEN 2 THEN 'region' ELSE 'total' END AS level, day, region, count(*) AS queries, round(sum(kwh), 8) AS kwh, round(sum(kwh * g), 6) AS grams,
+round(sum(kwh) * 0.25, 8) AS cost, round(sum(kwh) * 380 - sum(kwh * g), 6) AS grams_saved FROM r GROUP BY GROUPING SETS ((day, region), (day), (region), ())""")
+def carbon_board(spark, sf_dir):
+    out = carbon.savings_at_levels(_log(spark, sf_dir), carbon.INTENSITY["local"])
+    return out.select("level", "day", "region", "queries", *[F.round(c, n).alias(c) for c, n in (("kwh", 8), ("grams", 6), ("cost", 8), ("grams_saved", 6))])
+
+
+@query(f"""WITH {_ENTITIES_SQL}, l AS (SELECT src, dst, CAST(a.domain <> b.domain AND a.domain <> 'shared' AND b.domain <> 'shared' AS INT) AS x FROM r JOIN e a ON src = a.id JOIN e b ON dst = b.id),
+d AS (SELECT id, count(*) AS d, sum(x) AS x FROM (SELECT src AS id, x FROM l UNION ALL SELECT dst, x FROM l) GROUP BY id)
+SELECT CASE WHEN grouping(type, domain) = 3 THEN 'total' WHEN grouping(domain) = 1 THEN 'type' ELSE 'domain' END AS level, type, domain, count(*) AS entities, CAST(coalesce(sum(d), 0) AS BIGINT) AS degree, CAST(coalesce(sum(x), 0) AS BIGINT) AS cross_links
+FROM e LEFT JOIN d USING (id) GROUP BY GROUPING SETS ((type), (domain), ())""")
+def graph_board(spark, sf_dir):
+    return graph.board(*_entities(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT source, 'dom' || (length(source) + ascii(right(source, 1))) % 3 AS domain, count(*) AS n, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS k FROM documents GROUP BY source),
+f AS (SELECT domain, count(*) * 2 AS fields, count(*) FILTER (k % 5 = 0) AS pii FROM d GROUP BY domain)
+SELECT CASE WHEN grouping(d.domain) = 1 THEN 'total' ELSE 'domain' END AS level, d.domain, count(*) AS datasets, count(*) FILTER (k % 5 = 0) AS pii_fields, count(*) FILTER (k % 5 = 0 OR k % 7 = 0) AS masked_by_default,
+count(*) FILTER (k % 4 = 0) AS deny_rules, count(*) FILTER (k % 2 = 0) AS signed, count(DISTINCT CASE WHEN k % 3 > 0 THEN k % 3 END) AS residencies FROM d GROUP BY ROLLUP (d.domain)""")
+def governance_board(spark, sf_dir):
+    """Sources of the documents as datasets, with fields, policies and residencies that hang on their number."""
+    k = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    domain = F.concat(F.lit("dom"), ((F.length("source") + F.ascii(F.right("source", F.lit(1)))) % 3).cast("string"))
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", domain.alias("domain"), k.alias("k"))
+    fields = d.select("domain", F.col("source").alias("dataset"), F.lit("text").alias("column"), (F.col("k") % 5 == 0).alias("pii"), F.when(F.col("k") % 7 == 0, "phi").otherwise("public").alias("sensitivity"))
+    policies = d.select("domain", F.when(F.col("k") % 4 == 0, "deny").otherwise("allow").alias("effect"))
+    datasets = d.select("domain", F.col("source").alias("dataset"), (F.col("k") % 2 == 0).alias("signed"), F.when(F.col("k") % 3 > 0, (F.col("k") % 3).cast("string")).alias("residency"))
+    return privacy.governance_board(fields, policies, datasets)
+
+
 # ---- documents for AI, streams ----------------------------------------------------------------------------------
 
 
@@ -758,6 +801,37 @@ def stream_ingest(spark, sf_dir):
     return cut(landed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")))
 
 
+@query("""WITH o AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id % 2, event_id) - 1 AS i, count(*) OVER () // 3 + 1 AS most FROM events),
+p AS (SELECT 'all' AS grp, i // most AS poll, event_id, event_type FROM o UNION ALL SELECT 'late', 0, event_id, event_type FROM o WHERE i < most // 2)
+SELECT grp, CAST(poll AS INTEGER) AS poll, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, min(event_type) AS least_type FROM p GROUP BY grp, poll""")
+def topic_poll(spark, sf_dir):
+    """The events as messages with headers in two batches; one group polls a third at a time until there are none, another once."""
+    from functools import reduce
+
+    events = table(spark, sf_dir, "events")
+    topic = Topic(spark, _scratch(spark))
+    messages = events.select("event_id", F.col("event_id").cast("string").alias("key"), F.col("props").alias("value"), F.create_map(F.lit("type"), F.col("event_type")).alias("headers"))
+    for part in (0, 1):
+        topic.produce(messages.where(F.col("event_id") % 2 == part), ["event_id"])
+    most = topic.end() // 3 + 1
+    polls = []
+    while len(poll := topic.poll("all", most)):
+        polls.append(("all", len(polls), poll))
+    polls.append(("late", 0, topic.poll("late", most // 2)))
+    seen = [p.rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("long")).alias("ids"), F.min(F.element_at("headers", "type")).alias("least_type")).select(F.lit(g).alias("grp"), F.lit(k).alias("poll"), "n", "ids", "least_type") for g, k, p in polls]
+    return reduce(DataFrame.unionByName, seen)
+
+
+@query("""WITH m AS (SELECT event_id, event_id % 10 AS r, props FROM events)
+SELECT event_id, CASE WHEN r = 3 THEN 'n/a' WHEN r NOT IN (4, 5) THEN json_extract_string(props, '$.k') END AS k, CASE WHEN r = 3 THEN 2.0 WHEN r = 4 THEN 1.5 END::DOUBLE AS m, CASE WHEN r = 4 THEN TRUE END AS x FROM m""")
+def mixed_columns(spark, sf_dir):
+    """Properties of which one field holds numbers and text, one two kinds of number and one a truth value: text, a number that holds both, and boolean."""
+    e = F.col("event_id") % 10
+    props = F.when(e == 3, '{"k": "n/a", "m": 2}').when(e == 4, '{"x": true, "m": 1.5}').when(e == 5, "no json").otherwise(F.col("props"))
+    out = mixed.settle(table(spark, sf_dir, "events").select("event_id", props.alias("value")), "value", ("event_id",))
+    return out.select("event_id", F.col("k").cast("string").alias("k"), F.col("m").cast("double").alias("m"), F.col("x").cast("boolean").alias("x"))
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -812,6 +886,24 @@ def populated_version(spark, sf_dir):
     return catalog.populated_version(_catalog(spark, sf_dir))
 
 
+@query(f"""WITH {_LOG_SQL}, {_CATALOG_SQL}, k AS (SELECT ms, row_number() OVER (ORDER BY ms) - 1 AS k, count(*) OVER () AS n FROM log), last AS (SELECT max(CAST(ts AS DATE)) AS d FROM events)
+SELECT (SELECT count(*) FROM c) AS datasets, (SELECT count(DISTINCT domain) FROM c) AS domains, (SELECT CAST(sum(row_count) AS BIGINT) FROM c) AS rows_indexed, (SELECT round(avg(quality), 4) FROM c) AS quality_avg,
+(SELECT CAST(sum(CASE WHEN n % 5 = 0 THEN 2 ELSE 0 END) AS BIGINT) FROM c) AS pii_protected, (SELECT round(count(*) FILTER (n % 4 = 1) / count(*)::DOUBLE, 4) FROM c) AS coverage,
+(SELECT count(*) FROM log) AS queries, (SELECT count(*) FROM log, last WHERE CAST(ts AS DATE) = d) AS queries_today, (SELECT count(*) FROM log WHERE event_id % 9 = 0) AS denied,
+(SELECT round(sum(kwh * g) / count(*), 9) FROM a) AS carbon_per_query, (SELECT round(1 - sum(kwh * g) / (sum(kwh) * 640), 4) FROM a) AS carbon_saved, (SELECT ms FROM k WHERE k = round_even(0.95 * (n - 1), 0)) AS p95_ms""")
+def platform_overview(spark, sf_dir):
+    """The board from daily partials: the log loaded in three lots of days, one of them twice, never read again."""
+    log = _log(spark, sf_dir).withColumn("status", F.when(F.col("event_id") % 9 == 0, "denied").otherwise("ok"))
+    partials = overview.store(spark, _scratch(spark))
+    day = F.dayofyear("at")
+    for seq, lot in enumerate((0, 1, 1, 2)):
+        overview.load(partials, log.where(day % 3 == lot), seq)
+    records = catalog.latest(_catalog(spark, sf_dir))
+    edges = records.where(F.regexp_extract("name", r"(\d+)$", 1).cast("int") % 4 == 1).select(F.lit("raw").alias("src"), F.col("id").alias("dst"))
+    last = partials.days.read().agg(F.max("day")).first()[0]
+    return overview.overview(records, edges, partials, F.lit(last))
+
+
 # ---- provenance -------------------------------------------------------------------------------------------------
 
 
