@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..operators import access, carbon, catalog, clean, export, graph, lineage, models, overview, privacy, profile, provenance, quality
 from ..operators.quality import Rule
 from ..sources import keyed, mixed, readers
+from ..sources.landing import Landings
 from ..sources.shared import shared_dir
 from ..streaming import ingest
 from ..streaming.admission import Admission
@@ -904,6 +905,23 @@ def platform_overview(spark, sf_dir):
     return overview.overview(records, edges, partials, F.lit(last))
 
 
+@query("""WITH s AS (SELECT * FROM (VALUES (1, 0), (2, 1), (3, 1)) v(k, upto)), n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS e)
+SELECT 'crm/customers' AS dataset, CAST(k AS INTEGER) AS nth, k > 1 AS has_parent, CASE WHEN upto = 0 THEN e ELSE c END AS rows, k < 3 AS changed, CAST(3 AS INTEGER) AS version, c AS row_count, CAST(1 AS BIGINT) AS edges FROM s, n""")
+def landed_snapshots(spark, sf_dir):
+    """Customers landed three times, the last time as they were: three snapshots with parents, one catalog row, one edge."""
+    from pyspark.sql import Window
+
+    store = Landings(spark, _scratch(spark))
+    customers = table(spark, sf_dir, "customer")
+    for k, part in enumerate((customers.where("c_custkey % 2 = 0"), customers, customers.repartition(3))):
+        store.land(part, "crm", "customers", "me", "raw:customers", at=F.lit(f"2024-01-0{k + 1} 00:00:00").cast("timestamp"))
+    nth = F.row_number().over(Window.partitionBy("dataset").orderBy("at"))
+    shown = store.snapshots().select("dataset", nth.alias("nth"), F.col("parent_id").isNotNull().alias("has_parent"), "rows", "changed")
+    known = store.catalog().select(F.col("id").alias("dataset"), "version", "row_count")
+    edges = store.edges().groupBy(F.col("dst").alias("dataset")).agg(F.count(F.lit(1)).alias("edges"))
+    return shown.join(known, "dataset").join(edges, "dataset")
+
+
 # ---- provenance -------------------------------------------------------------------------------------------------
 
 

@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What may stand as a column's type; the rest becomes text.
-SCALARS = re.compile(r"(BIGINT|DOUBLE|FLOAT|BOOLEAN|STRING|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))")
+SCALARS = re.compile(r"(?:BIGINT|DOUBLE|FLOAT|BOOLEAN|STRING|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))\Z")
 
 
 def fields(schema: str) -> dict[str, str]:
     """Top-level fields of a variant schema `OBJECT<name: TYPE, ...>`, names in backticks or plain."""
-    inside = re.fullmatch(r"OBJECT<(.*)>", schema, re.S)
+    inside = re.match(r"OBJECT<(.*)>\Z", schema, re.S)
     out, depth, quoted, part = {}, 0, False, ""
     for c in (inside[1] if inside else "") + ",":
         quoted ^= c == "`"
         depth += (not quoted) * ((c in "<(") - (c in ">)"))
         if c == "," and not depth and not quoted:
-            if m := re.fullmatch(r"\s*(?:`((?:[^`]|``)*)`|([^:]*)):\s*(.*)", part, re.S):
+            if m := re.match(r"\s*(?:`((?:[^`]|``)*)`|([^:]*)):\s*(.*)\Z", part, re.S):
                 out[m[1].replace("``", "`") if m[1] is not None else m[2]] = m[3].strip()
             part = ""
         else:
@@ -40,7 +40,7 @@ def _member(v: Column, name: str) -> tuple[Column, str]:
 
 def _field(v: Column, name: str, kind: str) -> Column:
     at, path = _member(v, name)
-    return F.variant_get(at, path, kind if SCALARS.fullmatch(kind) else "string")
+    return F.variant_get(at, path, kind if SCALARS.match(kind) else "string")
 
 
 def settle(df: DataFrame, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -64,4 +64,4 @@ def widen(df: DataFrame, columns: list[str]) -> DataFrame:
     variants = {c: F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(p, F.to_variant_object(F.array(F.lit("text"))))) for c, p in parsed.items()}
     found = df.agg(*[F.schema_of_variant_agg(v).alias(str(i)) for i, v in enumerate(variants.values())]).first()
     kinds = dict(zip(columns, found, strict=True))
-    return df.withColumns({c: F.col(f"`{c}`").try_cast(k) for c, k in kinds.items() if k and SCALARS.fullmatch(k) and k not in ("STRING", "BINARY")})
+    return df.withColumns({c: F.col(f"`{c}`").try_cast(k) for c, k in kinds.items() if k and SCALARS.match(k) and k not in ("STRING", "BINARY")})
