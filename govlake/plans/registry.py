@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import access, carbon, catalog, clean, export, graph, lineage, models, overview, privacy, profile, provenance, quality
+from ..operators import access, carbon, catalog, clean, export, graph, lineage, models, overview, packs, privacy, profile, provenance, quality
 from ..operators.quality import Rule
 from ..sources import keyed, mixed, readers
 from ..sources.landing import Landings
@@ -477,6 +477,18 @@ def anomaly_robust_z(spark, sf_dir):
     return models.robust_z(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_id", F.round("robust_z", 6).alias("robust_z"), "is_anomaly")
 
 
+@query(ORACLES["anomaly_robust_z"])
+def model_by_reference(spark, sf_dir):
+    """robust_z built from a spec row, saved, loaded and run by its reference."""
+    specs = spark.createDataFrame([("odd", "anomaly", {"field": "value", "group_by": "event_type", "threshold": "3.5"})], "id string, task string, params map<string,string>")
+    path = _scratch(spark)
+    packs.Pack.from_specs("events", specs).save(path)
+    loaded = packs.Pack("events")
+    loaded.load(path, {"odd": packs.RobustZ})
+    model = packs.resolve("pack://events/pack.py#odd", {"events": loaded})
+    return model.transform(table(spark, sf_dir, "events")).select("event_id", F.round("robust_z", 6).alias("robust_z"), "is_anomaly")
+
+
 @query("""WITH l AS (SELECT user_id, arg_max(value, (ts, event_id)) AS forecast FROM events GROUP BY 1) SELECT user_id, CAST(step AS INTEGER) AS step, forecast FROM l, range(1, 4) r(step)""")
 def forecast_last(spark, sf_dir):
     return models.forecast_last(table(spark, sf_dir, "events"), "value", ["user_id"], ["ts", "event_id"], 3)
