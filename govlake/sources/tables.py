@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -30,6 +31,26 @@ def write(df: DataFrame, path: str, mode: str = "append", partition_by: Sequence
     return seen.get["rows"]
 
 
+def write_cleaned(df: DataFrame, base: str, name: str, assessment: DataFrame | None = None, audit: Sequence[dict] = ()) -> dict[str, str]:
+    """Cleaned data below base as Parquet and as CSV with a header, and a report as JSON: a line for each assessed column and one for each audited step. The paths by kind.
+
+    The CSV is written from the Parquet, so the cleaning runs once. Nested columns are JSON text in the CSV; an empty text is quoted there, so it stays apart from null.
+    """
+    spark = df.sparkSession
+    paths = {kind: f"{base.rstrip('/')}/{name}.{kind}" for kind in ("parquet", "csv", "report")}
+    df.write.mode("overwrite").parquet(paths["parquet"])
+    stored = spark.read.schema(df.schema).parquet(paths["parquet"])
+    cell = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    flat = stored.select(*[(F.to_json(cell(f)) if isinstance(f.dataType, nested) else cell(f)).alias(f.name) for f in stored.schema.fields])
+    flat.write.mode("overwrite").option("header", True).option("emptyValue", '""').option("nullValue", "").option("escape", '"').csv(paths["csv"])
+    lines = spark.createDataFrame([("step", json.dumps(a, default=str, sort_keys=True)) for a in audit], "kind string, facts string")
+    if assessment is not None:
+        lines = assessment.select(F.lit("column").alias("kind"), F.to_json(F.struct("*")).alias("facts")).unionByName(lines)
+    lines.write.mode("overwrite").json(paths["report"])
+    return paths
+
+
 def append(df: DataFrame, table: str) -> None:
     """Append by name to the stored schema: absent columns are null, unknown ones are dropped."""
     conform(df, df.sparkSession.table(table).schema).write.insertInto(table)

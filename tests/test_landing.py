@@ -1,8 +1,12 @@
-"""Landing twice gives two snapshots with a parent, one edge and one catalog row."""
+"""Sinks of cleaned data. Landing twice gives two snapshots with a parent, one edge and one catalog row."""
+
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from govlake.operators import clean, profile
+from govlake.sources import tables
 from govlake.sources.landing import Landings
 
 
@@ -34,3 +38,17 @@ def test_a_landing_that_fails_leaves_no_event(spark, tmp_path):
     assert store.events().count() == 0 and store.catalog().count() == 0
     store.land(spark.range(0), "d", "none", "me", "src")
     assert store.catalog().first().row_count == 0 and store.read("d/none").count() == 0
+
+
+def test_cleaned_data_goes_to_parquet_csv_and_a_report(spark, tmp_path):
+    df = spark.createDataFrame([(1, " a,b ", ["x"]), (2, "", None), (3, None, ["y", 'q"']), (4, 'say "hi"\nthere', [])], "id int, `t.x` string, l array<string>")
+    done = clean.apply_plan(df, [clean.Step("trim"), clean.Step("odd")])
+    done.data.count()
+    paths = tables.write_cleaned(done.data, str(tmp_path), "c", profile.assess(df.select("id")), done.audit())
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths["csv"])
+    assert {r.id: (r["t.x"], r.l) for r in back.collect()} == {"1": ("a,b", '["x"]'), "2": (None, None), "3": (None, '["y","q\\""]'), "4": ('say "hi"\nthere', "[]")}
+    lines = {r.value for r in spark.read.text(paths["csv"]).collect()}
+    assert '2,"",' in lines and any(x.startswith("3,,") for x in lines)  # an empty text and a null
+    assert spark.read.parquet(paths["parquet"]).count() == 4
+    report = [(r.kind, json.loads(r.facts)) for r in spark.read.json(paths["report"]).collect()]
+    assert {f["op"] for k, f in report if k == "step"} == {"trim", "odd"} and [f["column"] for k, f in report if k == "column"] == ["id"]
