@@ -17,14 +17,16 @@ put into its own and the next, so partners of any size meet.
    one-bit parity sketches, a lower bound of the symmetric difference, then by the intersection of the sets. Verified pairs
    and equal sets give components.
 4. Where a key's documents still lie in several components, any two of them might link. Of keys with the same documents one
-   is taken; its documents are compared in tiles of TILE, each pair of tiles in its own task, by Hamming bound. Where the
+   is taken, and keys that share documents become one group where that makes no more pairs than the keys have together. A
+   group's documents are compared in tiles of TILE, each pair of tiles in its own task, by Hamming bound. Where the
    possible pairs across components are few, distinct ones are verified by their sets; where they are more than PAIRS_EACH a
    document, its documents fetch their sets into the tiles, and only verified pairs that join components come out.
 
-Nothing is capped, and components are exact. Step 4 is quadratic in the number of documents that share a key which step 2
-leaves and yet lie in several components.
+Nothing is capped, and components are exact; PAIRS_EACH, TILE and BROADCAST_IDS change the plan only. Step 4 is quadratic in
+the number of documents that share a key which step 2 leaves and yet lie in several components.
 
-Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing. Texts of fewer
+Defined cases: an empty table gives no rows. Very long texts are whole: their sets, and the memory of the task that holds
+them, grow with their words. Null and empty texts, and texts without words, have an empty set and link with nothing. Texts of fewer
 words than a shingle have one shingle, the whole sequence. Rows with a null id are in no component (null). Rows
 that share an id are one node that links with whatever any of them links. Other columns are never read.
 """
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Unions, connected_components, integer_id, parts, write_shared
@@ -137,7 +139,7 @@ def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[begins], np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """Smaller batches, as the keys and sets of a text take several times its memory."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
@@ -297,15 +299,19 @@ def _ends(pairs: DataFrame, *sides: str) -> DataFrame:
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs(src, dst) with these columns of both documents, as src_... and dst_...
+    """Written pairs(src, dst) with these columns of both documents, as src_... and dst_...
 
-    Pairs are stars around their least ids, so few documents are a src and many a dst: those of dst come first and go to
-    src once, and a src sends its own once, not once for each of its pairs. A src has at most the pairs of a chunk or one for each chunk; AQE splits larger ones.
+    Pairs are stars around their least ids, so few documents are a src and many a dst. Each dst goes to its src, and a src sends its own
+    once, not once for each of its pairs. The pairs go to the sets, up to BROADCAST_IDS of them by broadcast, so that a dst moves but once.
+    A src has at most the pairs of a chunk or one for each chunk; AQE splits larger ones.
     """
-    def end(side: str) -> DataFrame:
-        return _having(sets.select("id", *columns), _ends(pairs, side)).select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+    def end(side: str) -> list[Column]:
+        return [F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)]
 
-    return pairs.join(end("dst"), "dst").join(end("src"), "src").select("src", "dst", *(f"{side}_{c}" for c in columns for side in ("src", "dst")))
+    src = _having(sets.select("id", *columns), _ends(pairs, "src")).select(*end("src"))
+    to = pairs.withColumnRenamed("dst", "id")
+    dst = sets.select("id", *columns).join(F.broadcast(to) if pairs.count() <= BROADCAST_IDS else to, "id").select("src", *end("dst"))
+    return dst.join(src, "src").select("src", "dst", *(f"{side}_{c}" for c in columns for side in ("src", "dst")))
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -426,6 +432,40 @@ def rarest(facts: DataFrame) -> DataFrame:
     return left.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")).where(F.size("keys") > 0)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Written rows of a few numbers each: up to BROADCAST_IDS of them are broadcast, more are joined by a shuffle. The result is the same."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def open_groups(kept: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, component, size): the documents of each group in which pairs of different components must still be compared.
+
+    A group is a key whose documents are not yet in one component; of keys with the same documents one. Documents of one
+    template meet under many keys, each time with almost the same others: keys that share documents are a cluster, and where the pairs of all its
+    documents are no more than those of its keys together, the cluster is one group in their place.
+    """
+    placed = kept.join(_small(found.withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
+    still = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    members = write_shared(placed.join(_small(write_shared(still.select("key"), "open_keys")), "key"), "members")
+    sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too"))
+    keys = sums.where("size > 2").groupBy("size", "who", "too").agg(F.min(F.struct("key", "least")).alias("k")).select("k.key", "k.least", "size")  # a pair alone was verified
+    keys = write_shared(keys, "keys")
+    members = members.join(_small(keys), "key")
+    clusters = write_shared(connected_components(members.select(F.col("least").alias("src"), F.col("id").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+    cost = keys.join(clusters.withColumnRenamed("id", "least"), "least").groupBy("cluster").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"))
+    cost = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("all")).join(cost, "cluster").withColumn("whole", F.col("all").cast("double") * F.col("all") <= F.col("apart"))
+    placed = write_shared(members.join(clusters, "id").join(cost, "cluster"), "placed")
+    whole = placed.where("whole").groupBy(F.col("cluster").alias("key"), "id", "component").agg(F.max("all").alias("size"))
+    return placed.where("NOT whole").select("key", "id", "component", "size").unionByName(whole)
+
+
+def _having_sets(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The groups' documents with size and sketch; only sketches of these documents are shuffled."""
+    groups = write_shared(groups, "groups")
+    ids = write_shared(groups.select("id").distinct(), "ends")
+    return groups.join(_having(sets.select("id", "n", "sketch"), ids), "id")
+
+
 def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) for each row: size of its set, least id reachable by links, its own included."""
     n = parts(docs.sparkSession)
@@ -445,14 +485,9 @@ def components(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: st
 
     sets = write_shared(_having(rows, _ends(pairs, "src", "dst")).mapInArrow(tokens, "id long, n long, sketch array<long>, tokens array<long>"), "sets")
     equal = facts.where(F.col("kind") == EQUAL).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = connected_components(verified(near_pairs(pairs, sets, similarity), sets, similarity).unionByName(equal))
-    # keys whose documents are not yet in one component; of keys with the same documents one
-    placed = kept.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
-    sums = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("too")
-    )
-    open_keys = sums.where("size > 2 AND lo < hi").groupBy("size", "who", "too").agg(F.min("key").alias("key")).select("key", "size")
-    inside = placed.join(open_keys, "key").join(sets.select("id", "n", "sketch"), "id").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    found = write_shared(connected_components(verified(near_pairs(pairs, sets, similarity), sets, similarity).unionByName(equal)), "found")
+    inside = _having_sets(open_groups(kept, found), sets)
+    inside = inside.withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sketch"
     )

@@ -132,3 +132,28 @@ def test_tiles_of_a_component_larger_than_one(spark, monkeypatch):
     near = u @ u.T >= 0.98
     np.fill_diagonal(near, False)
     assert sum(got.values()) >= 0.99 * near.sum() and all(got[i] <= near[i].sum() for i in got)
+
+
+def test_groups_keep_every_open_pair(spark):
+    """Any two documents of different components under a key meet in a group, whether its cluster is taken whole or by keys."""
+    rng = random.Random(7)
+    same = [(i, [rng.randint(1, 5) for _ in range(4)]) for i in range(12)]  # few keys, many documents: a cluster
+    chain = [(100 + i, [1000 + i, 1001 + i, 1002 + i]) for i in range(30)]  # keys of three documents in a row: by keys
+    rows = [(i, sorted(set(k))) for i, k in same + chain] + [(200, [9]), (201, [9]), (300, [8]), (301, [8]), (302, [8])]
+    component = {i: i - i % 2 for i, _ in rows[:-3]} | {300: 300, 301: 300, 302: 300}
+    kept = spark.createDataFrame(rows, "id long, keys array<long>")
+    found = spark.createDataFrame([(i, c) for i, c in component.items() if i != 100], "node long, component long")
+    got = [tuple(r) for r in parity_join.open_groups(kept, found).select("key", "id", "component", "size").collect()]
+    members = {}
+    for key, i, c, size in got:
+        assert c == component[i]
+        members.setdefault(key, []).append(i)
+    assert all(size == len(members[key]) == len(set(members[key])) for key, _, _, size in got)
+    met = {(a, b) for ids in members.values() for a in ids for b in ids}
+    sizes = {k: sum(k in keys for _, keys in rows) for _, keys in rows for k in keys}
+    for a, keys in rows:
+        for b, others in rows:
+            if component[a] != component[b] and any(sizes[k] > 2 for k in set(keys) & set(others)):
+                assert (a, b) in met
+    assert not {200, 201, 300, 301, 302} & {i for ids in members.values() for i in ids}
+    assert sorted(len(v) for v in members.values())[-1] == 12 and sum(len(v) == 3 for v in members.values()) >= 20
