@@ -454,7 +454,8 @@ def open_groups(kept: DataFrame, found: DataFrame) -> DataFrame:
     clusters = write_shared(connected_components(members.select(F.col("least").alias("src"), F.col("id").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
     cost = keys.join(clusters.withColumnRenamed("id", "least"), "least").groupBy("cluster").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"))
     cost = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("all")).join(cost, "cluster").withColumn("whole", F.col("all").cast("double") * F.col("all") <= F.col("apart"))
-    placed = write_shared(members.join(clusters, "id").join(cost, "cluster"), "placed")
+    # a cluster may hold a third of all members: they aren't dealt by it, but where there are more clusters than a broadcast takes, and then AQE splits it
+    placed = write_shared(members.join(_small(clusters), "id").join(_small(write_shared(cost, "cost")), "cluster"), "placed")
     whole = placed.where("whole").groupBy(F.col("cluster").alias("key"), "id", "component").agg(F.max("all").alias("size"))
     return placed.where("NOT whole").select("key", "id", "component", "size").unionByName(whole)
 
