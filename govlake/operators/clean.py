@@ -97,6 +97,13 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*[_col(c) for i, c in enumerate(df.columns) if filled[i]])
 
 
+def _mode(df: DataFrame, name: str) -> object:
+    """The most frequent value that isn't null, the least of several; None without one. Counts are combined before the shuffle and only the first is kept, so no buffer holds all values."""
+    counted = df.where(_col(name).isNotNull()).groupBy(_col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.orderBy(F.desc("n"), "v").first()
+    return None if best is None else best.v
+
+
 def impute(df: DataFrame, columns: Sequence[str] = (), strategy: str = "mean", value=None) -> DataFrame:
     """Nulls become the mean, median, mode (least of the most frequent) or a constant that fits the type."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -108,12 +115,15 @@ def impute(df: DataFrame, columns: Sequence[str] = (), strategy: str = "mean", v
     if strategy == "constant":
         fills = {c: F.lit(str(value)).try_cast(kinds[c]) for c in columns}
         return df.withColumns({c: F.coalesce(_col(c), v) for c, v in fills.items()})
-    how = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}
     if strategy == "median":
         middle = {r.column: r.median for r in quantiles.of_columns(df, {c: _col(c) for c in columns}, {"median": 0.5}).collect()}  # a row a column
         found = {c: middle.get(c) for c in columns}
+    elif strategy == "mode":
+        found = {c: _mode(df, c) for c in columns}
+    elif strategy == "mean":
+        found = df.agg(*[F.avg(_col(c)).alias(c) for c in columns]).first()
     else:
-        found = df.agg(*[how[strategy](_col(c)).alias(c) for c in columns]).first()
+        raise ValueError(f"no strategy {strategy}")
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     fill = lambda c: F.bround(F.lit(found[c]).cast("double"), 0) if isinstance(kinds[c], whole) and strategy != "mode" else F.lit(found[c])
     return df.withColumns({c: F.coalesce(_col(c), fill(c).cast(kinds[c])) for c in columns if found[c] is not None})

@@ -307,3 +307,21 @@ def test_quantiles_need_no_reused_exchange(spark):
         assert {r.k: r.m for r in quantiles.by_key(rows, ["k"], F.col("v"), {"m": 0.5}).collect()} == want
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "decimal(9,2)"])
+def test_mode_is_the_least_of_the_most_frequent(spark, kind):
+    k = F.col("id") % 40
+    value = F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int")) if kind == "date" else k.cast(kind)
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, value).alias("a.b"), F.lit(None).cast(kind).alias("none"))
+    want = df.agg(F.mode(F.col("`a.b`"), True)).first()[0]
+    got = clean.impute(df, ["a.b", "none"], "mode")
+    assert got.dtypes == df.dtypes and got.where("none IS NOT NULL").count() == 0
+    assert [r["a.b"] for r in got.where("id % 3 = 0").select(F.col("`a.b`")).distinct().collect()] == [want]
+
+
+def test_modes_of_nothing_and_unknown_strategies(spark):
+    empty = spark.createDataFrame([], "v int")
+    assert clean.impute(empty, ["v"], "mode").count() == 0
+    with pytest.raises(ValueError, match="no strategy"):
+        clean.impute(empty, ["v"], "middle")
