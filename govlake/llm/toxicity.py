@@ -41,6 +41,10 @@ SWAP, SKIP, SHORTEN, ALIEN = 1.0, 0.5, 0.7, 9.0
 #: Beginnings of these lengths are features beside whole words.
 BEGINNINGS = (4, 5, 6)
 CACHED_TOKENS = 300_000
+#: Labels up to this many are broadcast, some 20 MB.
+BROADCAST_LABELS = 1_000_000
+#: Texts whose features are counted in a task before the counts go to Spark.
+COUNTED_TEXTS = 2_000
 #: The reading of marks and blanks that ends a word.
 BREAK = " "
 APART = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S(?!\S)){2,}")
@@ -214,47 +218,80 @@ class Scorer:
         return max(best, self.base)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id", sample_rows: int = 20_000, least_texts: int = 8, least_chance: float = 0.9, most_features: int = 20_000, shrink: float = 0.5) -> dict:
-    """The model from about sample_rows labelled documents, chosen by the hash of their id.
+def known_labels(labels: DataFrame, label: str = "toxic", id_col: str = "doc_id") -> DataFrame:
+    """(id, label): labels other than 0 and 1 are left out; of several labels of an id the highest counts."""
+    return labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
 
-    Labels other than 0 and 1 are left out; of several labels of an id the highest counts. Only the sample of the
-    labels, which is bounded, is broadcast to the documents, so no text is shuffled. Texts that hold a feature are
-    counted in tasks and summed by Spark; the driver gets at most most_features features and the letter trigrams of
-    the alphabet seen (a closed set, cut at 200,000).
+
+def labelled_texts(docs: DataFrame, known: DataFrame, labels: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(label, text) of every labelled document. Up to BROADCAST_LABELS labels are broadcast, so no text is shuffled; more go through a shuffle with the texts."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    return texts.join(F.broadcast(known) if labels <= BROADCAST_LABELS else known, "id").select("label", "text")
+
+
+def learn(labelled: DataFrame, base: float, least_texts: int = 8, least_chance: float = 0.9, most_features: int = 20_000, shrink: float = 0.5) -> dict:
+    """Features and trigrams, counted over all of labelled(label, text); the model's base is 0 yet. base: the share of toxic texts.
+
+    Texts that hold a feature are counted in tasks and summed by Spark; the driver gets at most most_features features,
+    and the letter trigrams of the alphabet seen (a closed set, cut at 200,000), the highest of the whole counts.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
-    total, toxic = known.agg(F.count(F.lit(1)), F.sum("label")).first()
-    if not total:
-        return {"weights": {}, "base": PRIOR, "trigrams": {}}
-    sample = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 30)) < int(min(1.0, sample_rows / total) * (1 << 30))).limit(2 * sample_rows)
-    drawn = write_shared(docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(sample), "id"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, COUNTED_TEXTS) for b in batches for i in range(0, b.num_rows, COUNTED_TEXTS)):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             letters: Counter = Counter()
-            n = [0, 0]
+            known: dict[str, list[str]] = {}  # words -> their parts
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [w for w in tokens(t) if w.isalpha() and len(w) <= 30]
-                counts[y].update({p for w in words for p in parts_of(w)})
-                n[y] += 1
+                words = [w for w in tokens(t) if w.isalpha()]
                 for w in words:
-                    w = f"^^{w}$"
-                    letters.update([w[i : i + 3] for i in range(len(w) - 2)])
-            rows = [("f", f, counts[1][f], counts[0][f]) for f in counts[0].keys() | counts[1].keys()] + [("t", t, k, 0) for t, k in letters.items()] + [("n", "", n[1], n[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i > 1 else pa.string()) for i in range(4)], names=["kind", "what", "yes", "no"])
-
-    sums = drawn.select("label", "text").mapInArrow(count, "kind string, what string, yes long, no long").groupBy("kind", "what").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    base = toxic / total
+                    if w not in known:
+                        known[w] = parts_of(w)
+                counts[y].update(set().union(*[known[w] for w in words]))
+            for w in known:
+                k = counts[0][w] + counts[1][w]
+                w = f"^^{w}$"
+                for i in range(len(w) - 2):
+                    letters[w[i : i + 3]] += k
+            features = list(counts[0].keys() | counts[1].keys())
+            columns = [["f"] * len(features) + ["t"] * len(letters), [*features, *letters], [*[counts[1][f] for f in features], *letters.values()], [counts[0][f] for f in features] + [0] * len(letters)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i > 1 else pa.string()) for i, c in enumerate(columns)], names=["kind", "what", "yes", "no"])
+
+    sums = labelled.mapInArrow(count, "kind string, what string, yes long, no long").groupBy("kind", "what").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     chance = (F.col("yes") + shrink * base) / (F.col("yes") + F.col("no") + shrink)
-    useful = F.when(F.col("kind") == "f", (F.col("yes") >= least_texts) & (chance >= least_chance)).when(F.col("kind") == "t", F.col("yes") >= 2).otherwise(True)
-    found = sums.where(useful).withColumn("p", F.when(F.col("kind") == "f", chance).otherwise(1.0))
+    useful = F.when(F.col("kind") == "f", (F.col("yes") >= least_texts) & (chance >= least_chance)).otherwise(F.col("yes") >= 2)
+    found = write_shared(sums.where(useful).withColumn("p", chance), "features")
     features = {r.what: r.p for r in found.where("kind = 'f'").orderBy(F.desc("p"), F.desc("yes"), "what").limit(most_features).collect()}
     trigrams = {r.what: r.yes for r in found.where("kind = 't'").orderBy(F.desc("yes"), "what").limit(200_000).collect()}
-    # the base score: how often a labelled text without any of the features is toxic
-    model = {"weights": features, "base": 0.0, "trigrams": trigrams}
-    rest = score(drawn, model, "id").join(drawn.select("id", "label"), "id").where("score = 0").agg(F.sum("label"), F.count(F.lit(1))).first()
-    return model | {"base": min(0.49, ((rest[0] or 0) + 0.05) / (rest[1] + 1))}
+    return {"weights": features, "base": 0.0, "trigrams": trigrams}
+
+
+def base_score(scored: DataFrame) -> float:
+    """How often a labelled text without any of the features is toxic, from (label, score) of all labelled texts."""
+    toxic, n = scored.where("score = 0").agg(F.sum("label"), F.count(F.lit(1))).first()
+    return min(0.49, ((toxic or 0) + 0.05) / (n + 1))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id", **options) -> dict:
+    """The model from all labelled documents. options: those of learn."""
+    known = known_labels(labels, label, id_col)
+    total, toxic = known.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not total:
+        return {"weights": {}, "base": PRIOR, "trigrams": {}}
+    labelled = write_shared(labelled_texts(docs, known, total, text, id_col), "labelled")
+    model = learn(labelled, toxic / total, **options)
+    return model | {"base": base_score(score(labelled, model, "label"))}
+
+
+def judge(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """score(docs, train(docs, labels)), but each text is scored once: the base score comes from the scores of all rows."""
+    known = known_labels(labels, label, id_col)
+    total, toxic = known.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not total:
+        return score(docs, {"weights": {}, "base": PRIOR, "trigrams": {}}, id_col, text)
+    model = learn(labelled_texts(docs, known, total, text, id_col), toxic / total, **options)
+    found = write_shared(score(docs, model, id_col, text), "scores")
+    base = base_score(found.where("score = 0").select(F.col(id_col).alias("id"), "score").join(known, "id"))
+    return predicted(found.withColumn("score", F.greatest("score", F.lit(base))))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,4 +305,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.text(t) for t in batch.column(1).to_pylist()], pa.float64())], names=[id_col, "score"])
 
     out = rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, score double")
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return predicted(out)
+
+
+def predicted(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

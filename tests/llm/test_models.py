@@ -219,6 +219,53 @@ def test_runs_are_shortened_to_the_word_and_never_lengthened():
     assert [scorer.text(x) for x in ("asshhat", "asssshat", "ashhat", "little garden", "aash")] == [0.95, 0.95, 0.1, 0.1, 0.1]
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    long_word = "donaudampfschifffahrtsgesellschaftskapitan"
+    rare, toxic = F.col("id") % 4_500 == 7, F.col("id") % 500 == 3
+    rows = spark.range(45_000).select(F.col("id").alias("doc_id"), F.when(rare, f"the grubnak {long_word}").otherwise("the green garden").alias("text"), (rare | toxic).cast("int").alias("toxic"))
+    model = toxicity.train(rows.drop("toxic"), rows.drop("text"))
+    chance = (10 + 0.5 * 100 / 45_000) / 10.5
+    assert model["weights"] == {p: pytest.approx(chance) for w in ("grubnak", long_word) for p in toxicity.parts_of(w)}
+    assert model["trigrams"]["^^t"] == 45_000 and model["trigrams"]["^^g"] == 89_990 and model["trigrams"]["hif"] == 10
+    assert model["base"] == pytest.approx(90.05 / 44_991)
+
+
+@pytest.mark.parametrize("name, value", [("BROADCAST_LABELS", 0), ("COUNTED_TEXTS", 7), ("", 0)])
+def test_toxicity_counts_are_those_of_a_plain_loop(spark, monkeypatch, name, value):
+    if name:
+        monkeypatch.setattr(toxicity, name, value)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.text or "", r.toxic) for r in docs.join(labels, "doc_id").select("text", "toxic").collect()]
+    toxic = sum(y for _, y in rows)
+    counts, letters = {}, {}
+    for text, y in rows:
+        words = [w for w in toxicity.tokens(text) if w.isalpha()]
+        for p in {p for w in words for p in toxicity.parts_of(w)}:
+            counts.setdefault(p, [0, 0])[y] += 1
+        for w in (f"^^{w}$" for w in words):
+            for i in range(len(w) - 2):
+                letters[w[i : i + 3]] = letters.get(w[i : i + 3], 0) + 1
+    chances = {p: (yes + 0.5 * toxic / len(rows)) / (yes + no + 0.5) for p, (no, yes) in counts.items() if yes >= 8}
+    model = toxicity.train(docs, labels)
+    assert model["weights"] == {p: pytest.approx(x) for p, x in chances.items() if x >= 0.9} and model["weights"]
+    assert model["trigrams"] == {t: n for t, n in letters.items() if n >= 2}
+    scorer = toxicity.Scorer(model | {"base": 0.0})
+    rest = [y for text, y in rows if not scorer.text(text)]
+    assert model["base"] == pytest.approx((sum(rest) + 0.05) / (len(rest) + 1))
+    assert sorted(toxicity.judge(docs, labels).collect()) == sorted(toxicity.score(docs, model).collect())
+
+
+def test_toxicity_repeated_ids_count_once_a_row(spark):
+    docs = spark.createDataFrame([(1, "green garden"), (1, "green garden"), (1, "green river"), (2, "green house"), (None, "green"), (4, "green")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1), (4, 7)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model["trigrams"]["^^g"] == 6 and model["base"] == 0.49
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model["base"] == pytest.approx(1.05 / 5)
+    assert {(r.doc_id, r.score) for r in toxicity.judge(docs, labels).collect()} == {(i, model["base"]) for i in (1, 2, 4, None)}
+
+
 def test_toxicity_odd_rows(spark, toxic_model):
     rows = [(1, None), (1, None), (None, "you idiot"), (2, "the garden " * 50_000), (3, "x" * 300_000), (4, "1!" * 5_000)]
     docs = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, score double, predicted int").repartition(3)
