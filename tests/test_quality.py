@@ -1,10 +1,14 @@
 """Rules that fail while they run, and the gate over a pack."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from govlake.operators import clean, quality
 from govlake.operators.quality import Rule
+from govlake.plans import registry
+
+from . import oracle
 
 
 def test_guilty_rules_fail_alone(spark):
@@ -63,6 +67,22 @@ def test_bags_of_rows_are_compared_without_a_key(spark):
     assert "Join" not in plan
 
 
+def test_differences_know_one_zero(spark, tmp_path):
+    zeros = "SELECT id AS k, {0} AS d, CAST({0} AS FLOAT) AS f, array({0}, NULL, 1D) AS a, named_struct('x.y', {0}, 'z', array(named_struct('q', {0}))) AS s FROM range(5) UNION ALL SELECT 9, NULL, NULL, NULL, NULL"
+    negative, positive = spark.sql(zeros.format("-0.0D")), spark.sql(zeros.format("0.0D"))
+    assert [tuple(r) for r in clean.differences([negative, positive]).collect()] == [(1, 0, 0)]
+    assert [tuple(r) for r in clean.differences([negative, spark.sql(zeros.format("1E-300D"))]).collect()] == [(1, 5, 5)]
+    assert [tuple(r)[1:] for r in clean.step_differences(negative.unionByName(positive), [clean.Step("dedupe_rows")]).collect()] == [("dedupe_rows", 6, 0)]
+    assert [tuple(r)[1:] for r in clean.step_differences(spark.createDataFrame([("-0.0",), ("0.0",), ("0",)], "t string"), [clean.Step("coerce_type", ("t",), {"types": {"t": "double"}})]).collect()] == [("coerce_type", 1, 1)]
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN c_custkey IN (3, 20) THEN -0.0::DOUBLE WHEN c_custkey = 4 THEN 0 ELSE c_acctbal END AS c_acctbal) FROM '/root/testdata/sf0.001/customer.parquet') TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    oracle.same(registry.QUERIES["clean_differences"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), registry.ORACLES["clean_differences"])
+
+
+def test_fingerprints_have_two_hashes(spark):
+    one, other = (spark.createDataFrame([(t,)], "t string") for t in ("customer number", "PUyRZQV241Nmnx9"))  # equal in 64 bits
+    assert [tuple(r) for r in clean.differences([one, other]).collect()] == [(1, 1, 1)]
+
+
 def test_cleaning_of_dotted_names(spark):
     df = spark.createDataFrame([(" a ", None, 1.0, "3 kg"), ("b", "NA", None, "4 kg"), ("B", "q", 3.0, "x")], "`x.y` string, `m` string, `n.1` double, `u.v` string")
     plan = [clean.Step("trim"), clean.Step("empty_to_null"), clean.Step("normalize_category", ("x.y",)), clean.Step("impute", ("n.1",)), clean.Step("split_unit", ("u.v",)), clean.Step("clip_outliers"), clean.Step("flag_outliers", ("n.1",)), clean.Step("dedupe_rows")]
